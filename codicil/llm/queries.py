@@ -31,12 +31,46 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kd_shards import shard_documents
+
+    return shard_documents(_table(spark, sf_dir, "documents"), shards=16).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan_secrets
+
+    return scan_secrets(_table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge_documents
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return judge_documents(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hmm import score_documents
 
     return score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .emb_dedup import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -51,6 +85,20 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85, k=5).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op7_lm_scoring, op9_packing, op10_minhash)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_mixing,
+        op3_quality,
+        op4_sharding,
+        op5_secrets,
+        op6_quality_rules,
+        op7_lm_scoring,
+        op8_embedding_dedup,
+        op9_packing,
+        op10_minhash,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
