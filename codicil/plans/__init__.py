@@ -1,5 +1,5 @@
 """Named queries, by area."""
 
-from . import retrieval
+from . import documents, evaluation, retrieval
 
-CATALOGS = [retrieval.CATALOG]
+CATALOGS = [retrieval.CATALOG, documents.CATALOG, evaluation.CATALOG]
