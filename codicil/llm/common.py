@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,3 +95,11 @@ def words_of(c: Column) -> Column:
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches that hold few rows, as one row can hold a very long text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def per_process(key: Hashable, make: Callable[[], object]) -> object:
+    """What make gives, made once in each Python process and kept from task to task."""
+    store = sys.modules.setdefault("_codicil_kept", types.ModuleType("_codicil_kept")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]

@@ -8,6 +8,7 @@ indexed by remaining capacity finds the tightest open window.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -17,82 +18,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Carried, materialise, small_batches
-from .vectext import buffers, hash_spans, slices, word_spans
+from .common import Carried, materialise, per_process, small_batches
+from .vectext import slices
 
+# The word pattern of byte-level BPE.
+PIECES, AHEAD, SPACE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|", r"\s+(?!\S)|", r"\s+"
 _RUN = re.compile(r"\s\s")
 
 
-class UnitEncoder:
-    """Token ids of many texts at once.
+def byte_ranks(tokenizer_path: str) -> dict[bytes, int]:
+    """Token bytes and ids of a byte-level BPE in a tokenizers file; ids order its merges."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        model = json.load(f)
+    special = {t["content"] for t in model.get("added_tokens", ())}
+    # The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for characters from 256 on.
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    to_byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+    return {bytes(to_byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
 
-    Where no two white-space characters meet, a text is a chain of units, each a white-space character
-    and the word after it, and no token spans two units; so each distinct unit is encoded once and kept
-    in a bounded cache. Other texts are encoded whole.
-    """
 
-    MOST = 400_000
+class ByteEncoder:
+    """Token ids as the tokenizers library gives them for the same file, by a faster encoder.
+
+    Special tokens' strings are ordinary text. The look-ahead of the pattern matters only where two
+    white-space characters meet; texts without such a place are cut by the plain pattern.
+    """
 
     def __init__(self, tokenizer_path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[int, np.ndarray] = {}
-
-    def plain(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        texts = texts.fill_null("")
-        strings = texts.to_pylist()
-        odd = [i for i, s in enumerate(strings) if _RUN.search(s)]
-        data, offsets = buffers(texts)
-        starts, ends, _ = word_spans(data, offsets)
-        edge = np.zeros(len(data) + 1, bool)
-        edge[offsets] = True
-        # A unit starts at the white space before its word, or at the word if it opens the text.
-        opens = np.where(edge[starts], starts, starts - 1)
-        tails = offsets[1:][(np.diff(offsets) > 0)] - 1
-        tails = tails[np.isin(data[tails], (32, 9, 10, 11, 12, 13))]
-        opens, shuts = np.concatenate([opens, tails]), np.concatenate([ends, tails + 1])
-        order = np.argsort(opens, kind="stable")
-        opens, shuts = opens[order], shuts[order]
-        first = np.searchsorted(opens, offsets)
-        skip = np.zeros(len(opens), bool)
-        for i in odd:
-            skip[first[i] : first[i + 1]] = True
-        h = hash_spans(data, opens, shuts, lower=False)
-        h[skip] = 0
-        unique, at, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > self.MOST:
-            self.known.clear()
-        fresh = [j for j, x in enumerate(unique.tolist()) if x not in self.known]
-        raw = data.tobytes()
-        for j, ids in zip(fresh, self.plain([raw[opens[at[j]] : shuts[at[j]]].decode() if unique[j] else "" for j in fresh])):
-            self.known[int(unique[j])] = ids
-        each = [self.known[x] for x in unique.tolist()]
-        lengths = np.array([len(x) for x in each], np.int64)
-        flat = np.concatenate(each) if each else np.zeros(0, np.int32)
-        begin = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-        n = lengths[back]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(begin[back] - upto[:-1], n) + np.arange(upto[-1])]
-        out = [ids[upto[a] : upto[b]] for a, b in zip(first[:-1], first[1:])]
-        for i, x in zip(odd, self.plain([strings[i] for i in odd])):
-            out[i] = x
-        return out
+        import tiktoken
+
+        ranks = byte_ranks(tokenizer_path)
+        self.full, self.simple = (tiktoken.Encoding(n, pat_str=p, mergeable_ranks=ranks, special_tokens={}) for n, p in (("full", PIECES + AHEAD + SPACE), ("simple", PIECES + SPACE)))
+
+    def encode(self, text: str | None) -> np.ndarray:
+        text = text or ""
+        return np.array((self.full if _RUN.search(text) else self.simple).encode_ordinary(text), np.int32)
 
 
 def cut(tokenizer_path: str, window: int, end_id: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(_doc, _text) -> pieces of at most window ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, row = UnitEncoder(tokenizer_path), 0
+        encoder, row = per_process(("encoder", tokenizer_path), lambda: ByteEncoder(tokenizer_path)), 0
         for batch in (x for y in batches for x in slices(y, "_text")):
             out: dict[str, list] = {x: [] for x in ("doc", "start", "length", "crc", "tokens", "salt", "ids")}
-            for doc, ids in zip(batch.column("_doc").to_pylist(), encoder.encode(batch.column("_text"))):
-                ids = np.append(ids, np.int32(end_id)).astype("<u4")
+            for doc, text in zip(batch.column("_doc").to_pylist(), batch.column("_text")):
+                ids = np.append(encoder.encode(text.as_py()), np.int32(end_id)).astype("<u4")
                 row += 1
                 for start in range(0, len(ids), window):
                     piece = ids[start : start + window]

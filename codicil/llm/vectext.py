@@ -6,8 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
-SLICE_BYTES = 4_000_000
+from .common import per_process
+
+SLICE_BYTES = 2_000_000
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -18,16 +21,6 @@ _BASE = 0x9E3779B97F4A7C15 | 5
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-class _Tables(dict):
-    """A cache that travels empty."""
-
-    def __reduce__(self):
-        return _Tables, ()
-
-
-_powers = _Tables()
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambler of 64-bit values."""
     h = h ^ (h >> np.uint64(31))
@@ -38,15 +31,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
+    def table(size: int) -> np.ndarray:
         have = np.full(size, base, np.uint64)
         have[0] = 1
-        have = np.cumprod(have, dtype=np.uint64)
-        if size == SLICE_BYTES + 1:
-            _powers[base] = have
-    return have[:n]
+        return np.cumprod(have, dtype=np.uint64)
+
+    # A text longer than a slice gets a table of its own.
+    return per_process(("powers", base), lambda: table(SLICE_BYTES + 2))[:n] if n <= SLICE_BYTES + 2 else table(n)
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
