@@ -326,13 +326,13 @@ def query_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source is a question; its documents, by id, are the results."""
+    """Each source is a question; its six first documents, by id, are the results."""
     from pyspark.sql import Window
 
     return table(spark, sf_dir, "documents").select(
         F.col("source").alias("question_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("rank"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"),
         F.concat(F.col("lang"), F.lit(".pdf")).alias("document_name"), F.lit(1).alias("page_number"), F.lit(None).cast("string").alias("section"), F.col("lang").alias("heading"), "text", F.lit(0.5).alias("score"),
-    )
+    ).filter("rank <= 6")
 
 
 PACKED = """r AS (SELECT source AS question_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, doc_id, lang, text FROM documents),

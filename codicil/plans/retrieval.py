@@ -86,7 +86,7 @@ def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lists(spark: SparkSession, sf_dir: str, k: int = K) -> tuple[DataFrame, DataFrame]:
     """The dense and the BM25 list, twice as long as what is fused."""
-    found = bm25.search(bm25.build(chunks(spark, sf_dir)), questions(spark, sf_dir), 2 * k)
+    found = bm25.search(bm25.build(chunks(spark, sf_dir), unique=True), questions(spark, sf_dir), 2 * k)
     near = knn.block_top_k(vectors(spark, sf_dir), question_vectors(spark, sf_dir), 2 * k)
     return near.filter(F.col("score") >= LEAST), found
 
@@ -104,7 +104,7 @@ def _shown(df: DataFrame) -> DataFrame:
 
 @CATALOG.add(f"WITH {INDEX} SELECT n::BIGINT AS chunks, (SELECT count(*) FROM df) AS vocabulary, round(avgdl, 6) AS avg_length FROM st")
 def bm25_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.index_stats(bm25.build(chunks(spark, sf_dir)))
+    return bm25.index_stats(bm25.build(chunks(spark, sf_dir), unique=True))
 
 
 ONE_QUERY = "the of tion and 2.0 license"
@@ -116,12 +116,12 @@ SELECT query_id::BIGINT AS query_id, chunk_id, score, rank::INT AS rank FROM (SE
 )
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = spark.range(1).select(F.col("id").alias("query_id"), F.lit(ONE_QUERY).alias("query"))
-    return _shown(bm25.search(bm25.build(chunks(spark, sf_dir)), query, K))
+    return _shown(bm25.search(bm25.build(chunks(spark, sf_dir), unique=True), query, K))
 
 
 @CATALOG.add(f"WITH {INDEX}, {ASKED}, {SCORED} SELECT query_id, chunk_id, score, rank::INT AS rank FROM (SELECT *, {RANK} AS rank FROM sc) WHERE rank <= {K}")
 def bm25_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(bm25.search(bm25.build(chunks(spark, sf_dir)), questions(spark, sf_dir), K))
+    return _shown(bm25.search(bm25.build(chunks(spark, sf_dir), unique=True), questions(spark, sf_dir), K))
 
 
 @CATALOG.add(
@@ -131,7 +131,7 @@ def bm25_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics stay those of all documents."""
     rows = chunks(spark, sf_dir)
-    return _shown(bm25.search(bm25.build(rows), questions(spark, sf_dir), K, scope=rows.filter("lang = 'de'")))
+    return _shown(bm25.search(bm25.build(rows, unique=True), questions(spark, sf_dir), K, scope=rows.filter("lang = 'de'")))
 
 
 # ---- vectors
@@ -190,7 +190,7 @@ SELECT query_id, chunk_id, score, m::INT AS terms_met, (row_number() OVER (PARTI
 def legacy_relevance_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores are rounded to whole numbers, so that the later keys decide; one source plays the front matter."""
     rows = chunks(spark, sf_dir)
-    found = bm25.search(bm25.build(rows), questions(spark, sf_dir), K).withColumn("score", F.round("score", 0))
+    found = bm25.search(bm25.build(rows, unique=True), questions(spark, sf_dir), K).withColumn("score", F.round("score", 0))
     full = found.join(rows.select("chunk_id", "text", F.when(F.col("source") == "src0", F.lit("FRONTMATTER:PREAMBLE")).alias("section")), "chunk_id").join(questions(spark, sf_dir), "query_id")
     return rerank.by_relevance(full).select("query_id", "chunk_id", "score", "terms_met", F.col("rank").cast("int").alias("rank"))
 
@@ -265,7 +265,7 @@ def retriever(method: str, spark: SparkSession, sf_dir: str, k: int = K) -> Data
     if method == "dense":
         return knn.block_top_k(vectors(spark, sf_dir), question_vectors(spark, sf_dir), k, least=GATE)
     if method == "bm25":
-        return bm25.search(bm25.build(chunks(spark, sf_dir)), questions(spark, sf_dir), k)
+        return bm25.search(bm25.build(chunks(spark, sf_dir), unique=True), questions(spark, sf_dir), k)
     if method == "hybrid":
         return fusion.fuse(*lists(spark, sf_dir, k), k)
     if method == "hybrid_rerank":
