@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Carried, materialise, small_batches
+from .mixing import size_class
 from .vectext import buffers, hash_spans, slices, word_spans
 
 #: The token that ends each text; words hash to other values but for chance.
@@ -223,6 +224,21 @@ def forward(model: dict, most: int = 4_000_000) -> Callable[[Iterator[pa.RecordB
     return run
 
 
+def head_of(counts: DataFrame, most: int) -> pa.Table:
+    """The most frequent words, at most ``most``: whole classes of frequency, from the highest down.
+
+    Only the number of words of each class reaches the driver before the words do.
+    """
+    classed = counts.withColumn("_class", size_class(F.col("n")))
+    left, floor = most, 0
+    for r in sorted(classed.groupBy("_class").count().collect(), key=lambda r: -r["_class"]):
+        left -= r["count"]
+        if left < 0:
+            floor = r["_class"] + 1
+            break
+    return classed.filter(F.col("_class") >= floor).select("word", "n", "shape").orderBy(F.desc("n"), "word").toArrow()
+
+
 def score_documents(
     docs: DataFrame,
     *,
@@ -255,10 +271,11 @@ def score_documents(
         "counts",
     )
     n_all, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(head_words).toPandas()
-    words, seen = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    top = head_of(counts, head_words)
+    words, seen, shape = (top.column(c).to_numpy() for c in ("word", "n", "shape"))
+    words = words.view(np.uint64)
     if END not in words:
-        words, seen = np.append(words, END), np.append(seen, 0)
+        words, seen, shape = np.append(words, END), np.append(seen, 0), np.append(shape, 0)
     ranked = np.where(words == END, -1, np.arange(len(words)))
     own = np.full(len(words), -1, np.int64)
     chosen = np.argsort(ranked, kind="stable")[: own_words + 1]
@@ -273,19 +290,12 @@ def score_documents(
         "encoded",
     )
     # Words of each shape's class: all that have no class of their own.
-    alone = set(words[chosen].view(np.int64).tolist())
-    by_shape = {r["shape"]: (r["n"], r["v"]) for r in counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    less = top[top["word"].isin(alone) & (top["word"] != int(END))].groupby("shape")["n"].agg(["sum", "count"])
-    mass, below = np.ones(classes), np.zeros(classes)
+    mass, below, lone = np.ones(classes), np.zeros(classes), chosen[seen[chosen] > 0]
     mass[: len(chosen)] = seen[chosen] + 1.0
-    for s in range(SHAPES):
-        n, v = by_shape.get(s, (0, 0))
-        if s in less.index:
-            n, v = n - int(less.loc[s, "sum"]), v - int(less.loc[s, "count"])
-        if s == 0 and n_all and int(END) in set(top["word"]):
-            n, v = n - int(seen[words == END][0]), v - 1  # END is counted with shape 0
-        mass[len(chosen) + s] = n + v + 1.0
-        below[len(chosen) + s] = math.log10(n + v + 1.0)
+    for r in counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        of = lone[shape[lone] == r["shape"]]
+        mass[len(chosen) + r["shape"]] = r["n"] - seen[of].sum() + r["v"] - len(of) + 1.0
+    below[len(chosen) :] = np.log10(mass[len(chosen) :])
     rng = np.random.default_rng(seed)
     b = (mass / mass.sum()) * rng.uniform(0.5, 1.5, (states, classes))
     model = {
@@ -298,7 +308,7 @@ def score_documents(
     fold_of = F.pmod(F.crc32(F.coalesce(F.col("_doc").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
     train = encoded.filter(fold_of != held_fold).select("_cls")
     for _ in range(rounds):
-        got = train.mapInArrow(expect(model, segment), "state int, what string, at int, n double").groupBy("state", "what", "at").agg(F.sum("n").alias("n")).toPandas()
+        got = train.mapInArrow(expect(model, segment), "state int, what string, at int, n double").groupBy("state", "what", "at").agg(F.sum("n").alias("n")).toArrow().to_pandas()
         if got.empty:
             break
         pick = lambda w, shape: _spread(got[got["what"] == w], shape)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Carried, small_batches
+from .common import Carried, lowest_hashes, small_batches
 from .vectext import buffers, hash_spans, mix, slices, word_spans
 
 #: Classes of bytes whose shares are statistics.
@@ -194,14 +194,11 @@ def score_quality(
         .groupBy(known.col("doc").alias("_id"))
         .agg((F.avg(known.col("label").cast("double")) >= 0.5).cast("double").alias("_y"))
     )
-    # The sample is the labelled documents of the lowest hashes. A bound that a few more than train_rows of them
-    # stay under is known beforehand, so that no other document is measured for it.
+    # Only documents that the sample can hold are measured for it.
     known_rows = told.filter(fold("_id", folds) != held_fold).count()
-    share = min(1.0, 1.2 * train_rows / max(known_rows, 1) + 0.01)
-    bound = F.lit(int(min((2 * share - 1) * 2.0**63, 2.0**63 - 1025)))
     sample = (
         c.df.select(c.col("doc").alias("_doc"), c.col("text").alias("_text"))
-        .filter(F.col("_doc").isNotNull() & (fold("_doc", folds) != held_fold) & (F.xxhash64("_doc") <= bound))
+        .filter(F.col("_doc").isNotNull() & (fold("_doc", folds) != held_fold) & lowest_hashes(F.col("_doc"), known_rows, train_rows))
         .mapInArrow(_measured, f"_doc {dict(c.df.dtypes)[c.at['doc']]}, _stats array<double>")
         .join(told, F.col("_doc") == F.col("_id"))
         .orderBy(F.xxhash64("_doc"), "_doc", "_stats")
