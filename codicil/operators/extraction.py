@@ -71,6 +71,15 @@ RISKS = (
     (("confidential", "secret", "proprietary"), "HIGH", "compliance"),
     (("deadline", "within", "days", "must"), "MEDIUM", "operational"),
 )
+#: Words of which one is in every match of a pattern: clauses without them are not searched.
+SIGNS = {
+    "obligation_shall": ("shall",), "obligation_must": ("must",), "obligation_will": ("will",), "obligation_agrees": ("agree",),
+    "obligation_responsible": ("responsible",), "obligation_required": ("required",), "obligation_required_within": ("required",),
+    "obligation_should": ("should",), "obligation_liable": ("liable",), "right_may": ("may",), "right_can": ("can",),
+    "right_has_right_to": ("right",), "right_entitled": ("entitled",), "right_permitted": ("permitted",), "condition_if": ("if", "when"),
+    "condition_unless": ("unless", "except"), "condition_provided": ("provided",), "condition_upon": ("on",),
+    "condition_in_event": ("event", "case"), "condition_contingent": ("contingent", "subject", "conditioned"),
+}
 LEVELS = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 
 
@@ -90,19 +99,36 @@ def _starts(text: Column, found: Column) -> Column:
 
 
 def _matches(clauses: DataFrame, patterns: tuple, groups: int, flags: str = "") -> DataFrame:
-    """One row per match of each pattern, in order of patterns and places: pattern, tag, g0.., start, _order."""
+    """One row per match of each pattern, in order of patterns and places: pattern, tag, g0.., start, _order.
+
+    Each pattern is searched once, for whole matches; groups come from those. A match ends where its
+    pattern's look-ahead first holds, so the pattern matches the match alone in the same way.
+    """
     text = F.coalesce("text", F.lit(""))
 
+    def searched(name: str, pattern: str) -> Column:
+        found, signs = _all(text, flags + pattern, 0), SIGNS.get(name, ())
+        return F.when(_holds(F.lower(text), signs), found).otherwise(F.array().cast("array<string>")) if signs else found
+
     def of(i: int, name: str, pattern: str, tag: str | None = None) -> Column:
-        zipped = F.arrays_zip(
-            *[_all(text, flags + pattern, g).alias(f"g{g}") for g in range(groups + 1)], _starts(text, _all(text, flags + pattern, 0)).alias("start")
-        )
+        zipped = F.arrays_zip(F.col(f"_p{i}").alias("g0"), _starts(text, F.col(f"_p{i}")).alias("start"))
         fixed = {"pattern_no": F.lit(i), "pattern": F.lit(name), "tag": F.lit(tag).cast("string")}
-        fields = [*[f"g{g}" for g in range(groups + 1)], "start"]
-        return F.transform(zipped, lambda m: F.struct(*[c.alias(k) for k, c in fixed.items()], *[m[f].alias(f) for f in fields]))
+        group = lambda m, g: F.regexp_extract(m["g0"], flags + pattern, g).alias(f"g{g}")
+        return F.transform(
+            zipped, lambda m: F.struct(*[c.alias(k) for k, c in fixed.items()], m["g0"].alias("g0"), *[group(m, g) for g in range(1, groups + 1)], m["start"].alias("start"))
+        )
 
+    found = clauses.withColumns({f"_p{i}": searched(p[0], p[1]) for i, p in enumerate(patterns)})
     parts = [of(i, *p) for i, p in enumerate(patterns)]
-    return clauses.select("*", F.posexplode(F.concat(*parts)).alias("_order", "_m")).select("*", "_m.*").drop("_m")
+    rows = found.select(*clauses.columns, F.posexplode(F.concat(*parts)).alias("_order", "_m"))
+    return rows.select("*", "_m.*").drop("_m")
+
+
+def _holds(low: Column, parts: tuple[str, ...]) -> Column:
+    out = F.contains(low, F.lit(parts[0]))
+    for p in parts[1:]:
+        out = out | F.contains(low, F.lit(p))
+    return out
 
 
 def deadline(action: Column) -> Column:
@@ -204,16 +230,10 @@ def risks(rows: DataFrame) -> DataFrame:
     """A risk for every obligation and right."""
     low = F.lower("action")
 
-    def holds(words: tuple[str, ...]) -> Column:
-        out = F.contains(low, F.lit(words[0]))
-        for w in words[1:]:
-            out = out | F.contains(low, F.lit(w))
-        return out
-
     level = F.lit("MEDIUM")
     for words, name, _ in RISKS:  # a later rule stands outside the earlier ones
-        level = F.when(holds(words), name).otherwise(level)
-    found = F.array_compact(F.array(*[F.when(holds(words), F.lit(cat)) for words, _, cat in RISKS]))
+        level = F.when(_holds(low, words), name).otherwise(level)
+    found = F.array_compact(F.array(*[F.when(_holds(low, words), F.lit(cat)) for words, _, cat in RISKS]))
     order = Window.partitionBy("chunk_id").orderBy("source", "n")
     return rows.withColumn("_i", F.row_number().over(order) - 1).select(
         F.concat("chunk_id", F.lit("-risk-"), F.col("_i").cast("string")).alias("risk_id"), "chunk_id", "obligation_id", level.alias("risk_level"),
