@@ -5,9 +5,12 @@ half key of either collection, so HALVES * HALVES tables cost 2 * HALVES * ROWS
 halves of 3 rows a pair of similarity 0.85 meets in a table with probability 0.9998.
 
 Work is done on classes of documents with equal shingle sets, so groups of exact copies of any size cost
-nothing. Candidates are first the links of each bucket's members to its smallest member (linear in the
-bucket), verified on full sets; then, for members of one bucket that are still in different components,
-all pairs. Signatures drop pairs that are far below the threshold before any text is moved.
+nothing. Candidates are first the links of each bucket's members to one member of it (linear in the
+bucket), verified on full sets. Members of one bucket that are then still in different components are
+compared every one with every other, in blocks of bounded size: a task gets two blocks, first of
+signatures and then of texts, and gives back only who has a likely partner, and then links; so no row
+is made for a pair that is not a link. Signatures drop pairs far below the threshold before any text is
+moved.
 """
 
 from __future__ import annotations
@@ -26,6 +29,9 @@ from .vectext import mix, shingle_sets, slices
 HALVES, ROWS = 10, 3
 #: A pair at the threshold has at least this share of equal minhashes, but for a chance of about 1e-7.
 SLACK = 0.25
+#: Rows of one half of a block of an exhaustive comparison.
+BLOCK = 256
+BLOCK_KEY = ("_key", "_lo", "_hi")
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,14 +80,92 @@ def sign(k: int, halves: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]],
 
 
 def _alike(most_unlike: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Keeps pairs (x, y, _sx, _sy) whose signatures agree in enough places."""
+    """Keeps pairs (x, y, _sx, _sy) whose signatures agree in enough places, with the share of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("_sx", "_sy"))
-                keep = pa.array((a == b).mean(axis=1) >= most_unlike)
-                yield pa.RecordBatch.from_arrays([batch.column("x").filter(keep), batch.column("y").filter(keep)], ["x", "y"])
+                share = (a == b).mean(axis=1)
+                keep = pa.array(share >= most_unlike)
+                yield pa.RecordBatch.from_arrays([batch.column("x").filter(keep), batch.column("y").filter(keep), pa.array(share).filter(keep)], ["x", "y", "likeness"])
+
+    return run
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The runs of rows that are equal in by, of batches sorted by them; a run may pass from batch to batch."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in by], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if held and tuple(keys[a]) != last:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = tuple(keys[a])
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _across(block: pa.RecordBatch) -> np.ndarray:
+    """Which pairs of a block's rows are to be compared here: of its two halves, and of different components."""
+    half, group = (block.column(c).to_numpy(zero_copy_only=False) for c in ("_half", "_group"))
+    ask = group[:, None] != group[None, :]
+    if block.column("_lo")[0].as_py() != block.column("_hi")[0].as_py():
+        ask &= half[:, None] != half[None, :]
+    return np.triu(ask, 1)
+
+
+def _likely(floor: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of signatures -> the rows' (_key, _node) that have a partner of a signature near enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _grouped(batches, BLOCK_KEY):
+            raw = block.column("_load").to_pylist()
+            sig = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+            equal = np.zeros((len(raw), len(raw)), np.int16)
+            for column in sig.T:
+                equal += column[:, None] == column[None, :]
+            near = _across(block) & (equal >= floor * sig.shape[1])
+            keep = pa.array(near.any(axis=0) | near.any(axis=1))
+            yield pa.RecordBatch.from_arrays([block.column("_key").filter(keep), block.column("_node").filter(keep)], ["_key", "_node"])
+
+    return run
+
+
+def _linked(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of texts -> links (x, y). Intersections of all pairs come from one product over the shingles that two rows share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _grouped(batches, BLOCK_KEY):
+            sets = [s for part in slices(block, "_load") for s in shingle_sets(part.column("_load"), k)]
+            sizes = np.array([len(s) for s in sets], np.int64)
+            unique, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            shared = np.cumsum(often > 1) - 1
+            row, column = np.repeat(np.arange(len(sets)), sizes), at
+            keep = often[column] > 1
+            row, column = row[keep], shared[column[keep]]
+            both = np.zeros((len(sets), len(sets)), np.float32)
+            order = np.argsort(column, kind="stable")
+            row, column = row[order], column[order]
+            width = 4096
+            for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+                a, b = np.searchsorted(column, (first, first + width))
+                part = np.zeros((len(sets), width), np.float32)
+                part[row[a:b], column[a:b] - first] = 1
+                both += part @ part.T
+            both = both.astype(np.int64)
+            i, j = np.nonzero(_across(block) & (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)))
+            node = block.column("_node").to_numpy(zero_copy_only=False)
+            group = block.column("_group").to_numpy(zero_copy_only=False)
+            # One link between two components does for them.
+            _, one = np.unique(np.sort(np.stack([group[i], group[j]], 1), axis=1), axis=0, return_index=True) if len(i) else (None, np.zeros(0, int))
+            yield pa.RecordBatch.from_arrays([pa.array(node[i[one]]), pa.array(node[j[one]])], ["x", "y"])
 
     return run
 
@@ -154,7 +238,12 @@ def near_duplicates(
             F.flatten(F.transform("_a", lambda x: F.transform("_b", lambda y: F.xxhash64(x, y))))
         ).alias("_key"),
     )
-    met = keys.groupBy("_key").agg(F.min("_node").alias("_head"), F.count(F.lit(1)).alias("_many")).filter(F.col("_many") > 1)
+    # Each bucket has a head of its own choice, so that a member meets other heads in other tables.
+    met = (
+        keys.groupBy("_key")
+        .agg(F.min(F.struct(F.xxhash64("_node", "_key"), "_node"))["_node"].alias("_head"), F.count(F.lit(1)).alias("_many"))
+        .filter(F.col("_many") > 1)
+    )
     buckets = materialise(keys.join(met, "_key").select("_key", "_node", "_head", "_many"), "buckets")
 
     signatures = classes.select("_node", "_sig")
@@ -163,19 +252,21 @@ def near_duplicates(
     def alike(pairs: DataFrame) -> DataFrame:
         with_x = pairs.join(signatures.select(F.col("_node").alias("x"), F.col("_sig").alias("_sx")), "x")
         with_y = with_x.join(signatures.select(F.col("_node").alias("y"), F.col("_sig").alias("_sy")), "y")
-        return with_y.select("x", "y", "_sx", "_sy").mapInArrow(_alike(floor), "x long, y long")
+        return with_y.select("x", "y", "_sx", "_sy").mapInArrow(_alike(floor), "x long, y long, likeness double")
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = materialise(pairs, f"{name}-pairs")
-        asked = pairs.select(F.explode(F.array("x", "y")).alias("_node")).distinct()
-        ones = classes.join(asked, "_node").select("_node", F.col("_one._doc").alias("_odoc"), F.col("_one._mark").alias("_omark"))
-        texts = materialise(
+    def texts_of(nodes: DataFrame, name: str) -> DataFrame:
+        ones = classes.join(nodes.select("_node").distinct(), "_node").select("_node", F.col("_one._doc").alias("_odoc"), F.col("_one._mark").alias("_omark"))
+        return materialise(
             base.select(c.col("doc").cast("long").alias("_doc"), "_mark", text.alias("_text"))
             .join(ones, F.col("_doc").eqNullSafe(F.col("_odoc")) & (F.col("_mark") == F.col("_omark")))
             .dropDuplicates(["_node"])
             .select("_node", "_text"),
             f"{name}-texts",
         )
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = materialise(pairs, f"{name}-pairs")
+        texts = texts_of(pairs.select(F.explode(F.array("x", "y")).alias("_node")), name)
         joined = pairs.join(texts.select(F.col("_node").alias("x"), F.col("_text").alias("_tx")), "x").join(
             texts.select(F.col("_node").alias("y"), F.col("_text").alias("_ty")), "y"
         )
@@ -197,22 +288,52 @@ def near_duplicates(
         alike(buckets.filter(F.col("_node") != F.col("_head")).select(F.col("_node").alias("x"), F.col("_head").alias("y")).distinct()),
         "stars",
     )
-    links = confirmed(stars.groupBy("x").agg(F.min("y").alias("y")), "first")
+    links = confirmed(stars.groupBy("x").agg(F.max(F.struct("likeness", "y"))["y"].alias("y")), "first")
     groups = grouped(links)
     links = links.unionByName(confirmed(apart(stars, groups), "second"))
     groups = grouped(links)
-    # Members of one bucket that are still apart, every pair of them.
+    # Members of one bucket that are still apart: every pair of them, in blocks. Buckets of equal members count once.
     placed = (
         buckets.filter(F.col("_many") > 2)
         .join(groups.select(F.col("node").alias("_node"), "component"), "_node", "left")
         .select("_key", "_node", F.coalesce("component", "_node").alias("_group"))
     )
-    mixed = placed.groupBy("_key").agg(F.min("_group").alias("_g0"), F.max("_group").alias("_g1")).filter("_g0 <> _g1").select("_key")
-    rest = materialise(placed.join(mixed, "_key"), "apart")
-    left, right = (rest.select("_key", F.col("_node").alias(n), F.col("_group").alias(g)) for n, g in (("x", "_gx"), ("y", "_gy")))
-    pairs = left.join(right, "_key").filter((F.col("x") < F.col("y")) & (F.col("_gx") != F.col("_gy"))).select("x", "y").distinct()
-    pairs = pairs.join(stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
-    links = links.unionByName(confirmed(alike(pairs), "third"))
+    mixed = (
+        placed.groupBy("_key")
+        .agg(
+            F.min("_group").alias("_g0"),
+            F.max("_group").alias("_g1"),
+            F.count(F.lit(1)).alias("_many"),
+            F.sum(F.xxhash64("_node").cast("decimal(38,0)")).alias("_mark"),
+        )
+        .filter("_g0 <> _g1")
+        .groupBy("_mark", "_many")
+        .agg(F.min("_key").alias("_key"))
+    )
+
+    def blocks(members: DataFrame) -> DataFrame:
+        """members (_key, _node, _group, _many, _load), each sent to the blocks of its bucket's halves."""
+        parts = F.ceil(F.col("_many") / BLOCK).cast("int")
+        return (
+            members.withColumns({"_parts": parts, "_half": F.pmod(F.xxhash64("_node"), F.ceil(F.col("_many") / BLOCK)).cast("int")})
+            .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+            .withColumns({"_lo": F.least("_half", "_other"), "_hi": F.greatest("_half", "_other")})
+            .select(*BLOCK_KEY, "_half", "_node", "_group", "_load")
+            .repartition(*BLOCK_KEY)
+            .sortWithinPartitions(*BLOCK_KEY)
+        )
+
+    rest = placed.join(mixed.select("_key", "_many"), "_key")
+    likely = materialise(
+        blocks(rest.join(signatures.withColumnRenamed("_sig", "_load"), "_node")).mapInArrow(_likely(floor), "_key long, _node long").distinct(), "likely"
+    )
+    texts = texts_of(likely, "third").withColumnRenamed("_text", "_load")
+    counted = likely.join(likely.groupBy("_key").agg(F.count(F.lit(1)).alias("_many")), "_key")
+    members = counted.join(groups.select(F.col("node").alias("_node"), "component"), "_node", "left").select(
+        "_key", "_node", F.coalesce("component", "_node").alias("_group"), "_many"
+    )
+    third = materialise(blocks(members.join(texts, "_node")).mapInArrow(_linked(k, percent), "x long, y long"), "third-links")
+    links = links.unionByName(third)
     groups = grouped(links)
 
     labelled = classes.join(groups.select(F.col("node").alias("_node"), "component"), "_node", "left").select(
