@@ -238,10 +238,10 @@ def near_duplicates(
             F.flatten(F.transform("_a", lambda x: F.transform("_b", lambda y: F.xxhash64(x, y))))
         ).alias("_key"),
     )
-    # Each bucket has a head of its own choice, so that a member meets other heads in other tables.
+    # A bucket's head is its lowest member in one of three orders, so that a member meets several heads, but not many.
     met = (
         keys.groupBy("_key")
-        .agg(F.min(F.struct(F.xxhash64("_node", "_key"), "_node"))["_node"].alias("_head"), F.count(F.lit(1)).alias("_many"))
+        .agg(F.min(F.struct(F.xxhash64("_node", F.pmod("_key", F.lit(3))), "_node"))["_node"].alias("_head"), F.count(F.lit(1)).alias("_many"))
         .filter(F.col("_many") > 1)
     )
     buckets = materialise(keys.join(met, "_key").select("_key", "_node", "_head", "_many"), "buckets")
