@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Carried, words_of
+from .common import Carried, materialise, words_of
 
 
 def size_class(size: Column) -> Column:
@@ -73,7 +73,8 @@ def mix_sources(
         .withColumn("_class", size_class(F.col("_size")))
         .withColumn("_salt", md5_int(c.col("doc"), 2))
     )
-    cells = base.groupBy("_source", "_class", "_salt").agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_sum"))
+    # The texts are read once for the cells' counts and once for the ranks; all between works on counts.
+    cells = materialise(base.groupBy("_source", "_class", "_salt").agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_sum")), "mix-cells")
     classes = cells.groupBy("_source", "_class").agg(F.sum("_n").alias("_n"), F.sum("_sum").alias("_sum"))
     targets = source_targets(classes.groupBy("_source").agg(F.sum("_sum").alias("_total")), weights, share, cap)
     up_to = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
