@@ -31,9 +31,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the smallest id."""
+    """One document of each group of near duplicates (five words, similarity 0.8 or more) stays, that with the smallest id."""
     small_batches(spark)
-    return near_duplicates(docs, percent=85, k=5).filter("kept").select(docs.columns)
+    return near_duplicates(docs, percent=80, k=5).filter("kept").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

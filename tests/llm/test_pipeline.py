@@ -28,3 +28,13 @@ def test_stages(spark, small):
     assert pieces.filter(F.col("start") == 0).count() == mix.count()
     assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
     assert pieces.filter(F.size("ids") != F.col("length")).count() == 0
+
+
+def test_near_copies_at_four_fifths_go(spark):
+    """Copies of similarity 0.80 to 0.849, under the 0.85 of the op10 query, link as well; those under 0.80 do not."""
+    words = lambda i, tail: " ".join([f"d{i}w{j}" for j in range(104 - tail)] + [f"d{i}x{tail}y{j}" for j in range(tail)])
+    # 100 shingles each, of which 100 - tail are shared: 89 of 111 (0.802), 91 of 109 (0.835), 88 of 112 (0.786).
+    rows = [(10 * i + j, words(i, tail), "en", "s", 0) for i, tails in enumerate([(0, 11), (0, 9), (0, 12)]) for j, tail in enumerate(tails)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in p.minhash_near_dedup(spark, docs, "").collect()}
+    assert kept == {0, 10, 20, 21}
