@@ -82,20 +82,32 @@ def vector() -> list[Column]:
 X = [f"_x{i}" for i in range(D)]
 
 
-def _chosen(rows: DataFrame, min_rows: int) -> DataFrame:
-    """_group: language and source; of groups with few rows the language; of few rows again, one for the rest."""
+def _chosen(rows: DataFrame, min_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with _group, and the rows that pass the fixed rules, each once for every _group it is fitted in.
+
+    A group is language and source; where fewer than min_rows of its rows pass, all of the language; where
+    those are few too, the whole table.
+    """
     name = lambda c: F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), c))
-    counts = rows.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("_k"))
-    small = counts.filter(F.col("_k") < min_rows).groupBy("_lang").agg(F.sum("_k").alias("_rest"))
-    names = counts.join(small.withColumnRenamed("_lang", "_l"), F.col("_lang").eqNullSafe(F.col("_l")), "left").select(
-        F.col("_lang").alias("_gl"),
-        F.col("_source").alias("_gs"),
-        F.when(F.col("_k") >= min_rows, F.concat_ws(" ", name(F.col("_lang")), name(F.col("_source"))))
-        .when(F.col("_rest") >= min_rows, name(F.col("_lang")))
-        .otherwise(F.lit(""))
-        .alias("_group"),
+    counts = materialise(rows.groupBy("_lang", "_source").agg(F.count(F.when(~F.col("_base"), 1)).alias("_k")), "rule-counts")
+    of_lang = counts.groupBy(F.col("_lang").alias("_l")).agg(F.sum("_k").alias("_all"))
+    own, lang, rest = F.concat_ws(" ", name(F.col("_lang")), name(F.col("_source"))), name(F.col("_lang")), F.lit("")
+    names = materialise(
+        counts.join(of_lang, F.col("_lang").eqNullSafe(F.col("_l"))).select(
+            F.col("_lang").alias("_gl"),
+            F.col("_source").alias("_gs"),
+            F.when(F.col("_k") >= min_rows, own).when(F.col("_all") >= min_rows, lang).otherwise(rest).alias("_group"),
+            F.array(own, lang, rest).alias("_may"),
+        ),
+        "rule-groups",
     )
-    return rows.join(materialise(names, "rule-groups"), F.col("_lang").eqNullSafe(F.col("_gl")) & F.col("_source").eqNullSafe(F.col("_gs"))).drop("_gl", "_gs")
+    fed = names.select("_gl", "_gs", F.explode("_may").alias("_group")).join(names.select("_group").distinct(), "_group", "left_semi")
+    fed = materialise(fed, "rule-fed")
+
+    def placed(some: DataFrame, groups: DataFrame) -> DataFrame:
+        return some.join(groups, F.col("_lang").eqNullSafe(F.col("_gl")) & F.col("_source").eqNullSafe(F.col("_gs"))).drop("_gl", "_gs")
+
+    return placed(rows, names.drop("_may")), placed(rows.filter(~F.col("_base")).select("_lang", "_source", *X), fed).select("_group", *X)
 
 
 def _estimate(rows: DataFrame) -> DataFrame:
@@ -145,11 +157,11 @@ def judge_documents(
     source_col: str = "source",
 ) -> DataFrame:
     """Returns the rows of docs (without the text, unless carry_text) with n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, base_failed, distance (null if not judged) and kept.
+    n_dup_lines, n_repeat_words, base_failed, distance (null only if no row passes the fixed rules) and kept.
 
-    Null text has no words and fails. Null languages and sources are values of their own. Groups of fewer
-    than min_rows rows are pooled by language, then together; if even those are too few, only the fixed
-    rules hold. Repeated rows are judged one by one. Columns with the names of the new ones are replaced.
+    Null text has no words and fails. Null languages and sources are values of their own. Where fewer than
+    min_rows rows of a language and source pass the fixed rules, its rows are judged by the estimate of the
+    language, and where those are few too, by that of the whole table, however small it is. Repeated rows are judged one by one. Columns with the names of the new ones are replaced.
     """
     c = Carried(docs, doc=id_col, text=text_col, lang=lang_col, source=source_col)
     named = c.df.withColumns({"_lang": c.col("lang").cast("string"), "_source": c.col("source").cast("string")})
@@ -158,10 +170,7 @@ def judge_documents(
     stats = stats.withColumns(dict(zip(X, vector())))
     if not carry_text:
         stats = stats.drop(c.at["text"])
-    rows = materialise(_chosen(materialise(stats, "rule-stats"), min_rows), "rule-rows")
-
-    fit = rows.filter(~F.col("_base")).select("_group", *X)
-    fit = fit.join(materialise(fit.groupBy("_group").agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") >= min_rows).select("_group"), "rule-large"), "_group")
+    rows, fit = (materialise(x, n) for x, n in zip(_chosen(materialise(stats, "rule-stats"), min_rows), ("rule-rows", "rule-fit")))
     # Start: the half nearest to the medians, in units of the floors and the mean absolute deviations.
     middle = materialise(fit.groupBy("_group").agg(*[F.percentile_approx(x, 0.5, 2000).alias(f"_q{i}") for i, x in enumerate(X)]), "rule-middle")
     off = fit.join(middle, "_group")

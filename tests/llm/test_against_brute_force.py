@@ -148,6 +148,22 @@ def test_outliers_are_rejected_and_others_kept(spark):
     assert not out.loc[range(1000, 1020)].kept.any()
 
 
+def test_rows_of_small_groups_are_judged(spark):
+    """Groups that only rows failing the fixed rules make large, and rare or null languages, are judged by a wider estimate."""
+    from codicil.llm.quality_rules import judge_documents
+
+    rng = np.random.default_rng(2)
+    pool = ["".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 9)))) for _ in range(3000)]
+    plain = lambda first, n, lang, source: [(first + i, " ".join(rng.choice(pool, int(rng.integers(60, 300)))), lang, source) for i in range(n)]
+    junk = lambda first, n, lang, source: [(first + i, " ".join(x + "###" for x in rng.choice(pool, 100)), lang, source) for i in range(n)]
+    rows = plain(0, 400, "en", "s") + plain(1000, 150, "en", "t") + junk(2000, 10, "en", "t") + [(3000 + i, "too short", "en", "t") for i in range(60)]
+    rows += plain(4000, 20, None, None) + junk(5000, 5, None, None) + junk(6000, 5, "xx", "s")
+    out = judge_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas().set_index("doc_id")
+    assert len(out) == len(rows) and out.distance.notna().all()
+    assert out.loc[[*range(400), *range(1000, 1150), *range(4000, 4020)]].kept.mean() >= 0.99
+    assert not out.loc[[*range(2000, 2010), *range(5000, 5005), *range(6000, 6005)]].kept.any()
+
+
 def test_lm_scores(spark, small, texts):
     out = got(spark, small, "op7_lm_scoring")
     tokens = {d: [*WORD.findall(t.translate(LOW)), "\n"] for d, t in texts.items()}
