@@ -18,10 +18,12 @@ from .common import WHITE_CHARS, Carried, materialise, words_of
 # Fixed values of the contract.
 SYMBOLS = "#*$%&|<>"
 #: Least standard deviations: log words, log mean word length, log symbol rate, log rate of repeated lines, share of repeated words.
-FLOORS = (0.5, 0.08, 0.35, 0.8, 0.12)
+FLOORS = (0.25, 0.04, 0.175, 0.4, 0.06)
 D = len(FLOORS)
 #: Median of the chi-square distribution with D - 1 degrees of freedom.
 CHI_MEDIAN = 3.3567
+#: Its quantile of 0.999. At the floors each entry but the length can pass it alone: ln 11 / 0.4 and 0.5 / 0.06, squared, are 36 and 69.
+CHI_999 = 18.4668
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -148,7 +150,7 @@ def judge_documents(
     *,
     share: float = 0.75,
     steps: int = 3,
-    cutoff: float = 60.0,
+    cutoff: float = CHI_999,
     min_rows: int = 200,
     carry_text: bool = False,
     id_col: str = "doc_id",
@@ -205,7 +207,10 @@ def judge_documents(
 
 
 def _distance_left(judged: DataFrame) -> DataFrame:
-    """_far: the squared distance given the length over the group's scale; null where there is no estimate."""
+    """_far: the squared distance given the length over the group's scale; null where there is no estimate.
+
+    A scale under 1 comes of floors wider than the data and is taken as 1.
+    """
     out = judged
     for i in range(D):
         left = F.col(X[i]) - F.col(f"_m{i}")
@@ -213,4 +218,4 @@ def _distance_left(judged: DataFrame) -> DataFrame:
             left = left - F.col(f"_l{i}{k}") * F.col(f"_y{k}")
         out = out.withColumn(f"_y{i}", left / F.col(f"_l{i}{i}"))
     squares = [F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(1, D)]
-    return out.withColumn("_far", sum(squares[1:], squares[0]) / F.greatest("_scale", F.lit(0.25)))
+    return out.withColumn("_far", sum(squares[1:], squares[0]) / F.greatest("_scale", F.lit(1.0)))

@@ -164,6 +164,20 @@ def test_rows_of_small_groups_are_judged(spark):
     assert not out.loc[[*range(2000, 2010), *range(5000, 5005), *range(6000, 6005)]].kept.any()
 
 
+def test_repeated_lines_or_words_alone_reject(spark):
+    from codicil.llm.quality_rules import judge_documents
+
+    rng = np.random.default_rng(6)
+    pool = ["".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 9)))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(pool, n))
+    rows = [(i, text(int(rng.integers(60, 300))), "en", "s") for i in range(400)]
+    rows += [(1000 + i, text(250) + "\n" + "\n".join([text(3)] * 20), "en", "s") for i in range(5)]  # nearly all lines, a fifth of the words
+    rows += [(2000 + i, text(110) + " " + " ".join([text(30)] * 3), "en", "s") for i in range(5)]  # 90 of 200 words, one line
+    out = judge_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas().set_index("doc_id")
+    assert not out.base_failed.any() and out.loc[range(400)].kept.mean() >= 0.99
+    assert not out.loc[range(1000, 1005)].kept.any() and not out.loc[range(2000, 2005)].kept.any()
+
+
 def test_lm_scores(spark, small, texts):
     out = got(spark, small, "op7_lm_scoring")
     tokens = {d: [*WORD.findall(t.translate(LOW)), "\n"] for d, t in texts.items()}
