@@ -26,6 +26,12 @@ PIECES, AHEAD, SPACE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 _RUN = re.compile(r"\s\s")
 
 
+def added_tokens(tokenizer_path: str) -> dict[str, int]:
+    """Strings and ids of the tokens that a tokenizers file finds in a text before anything else."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", ())}
+
+
 def byte_ranks(tokenizer_path: str) -> dict[bytes, int]:
     """Token bytes and ids of a byte-level BPE in a tokenizers file; ids order its merges."""
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -41,18 +47,28 @@ def byte_ranks(tokenizer_path: str) -> dict[bytes, int]:
 class ByteEncoder:
     """Token ids as the tokenizers library gives them for the same file, by a faster encoder.
 
-    Special tokens' strings are ordinary text. The look-ahead of the pattern matters only where two
+    With added, the strings of added tokens are those tokens, as tokenizers has it by default; else they
+    are ordinary text, as it has it with encode_special_tokens. The look-ahead of the pattern matters only where two
     white-space characters meet; texts without such a place are cut by the plain pattern.
     """
 
-    def __init__(self, tokenizer_path: str):
+    def __init__(self, tokenizer_path: str, *, added: bool = False):
         import tiktoken
 
+        self.added = added_tokens(tokenizer_path) if added else {}
+        # Of tokens that begin at one place the longest is found.
+        self.split = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         ranks = byte_ranks(tokenizer_path)
         self.full, self.simple = (tiktoken.Encoding(n, pat_str=p, mergeable_ranks=ranks, special_tokens={}) for n, p in (("full", PIECES + AHEAD + SPACE), ("simple", PIECES + SPACE)))
 
     def encode(self, text: str | None) -> np.ndarray:
         text = text or ""
+        if self.split is None or not any(x in text for x in self.added):
+            return self._plain(text)
+        parts = [np.array([self.added[x]], np.int32) if i % 2 else self._plain(x) for i, x in enumerate(self.split.split(text))]
+        return np.concatenate(parts)
+
+    def _plain(self, text: str) -> np.ndarray:
         return np.array((self.full if _RUN.search(text) else self.simple).encode_ordinary(text), np.int32)
 
 
@@ -60,7 +76,7 @@ def cut(tokenizer_path: str, window: int, end_id: int, with_ids: bool) -> Callab
     """(_doc, _text) -> pieces of at most window ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, row = per_process(("encoder", tokenizer_path), lambda: ByteEncoder(tokenizer_path)), 0
+        encoder, row = per_process(("encoder", tokenizer_path), lambda: ByteEncoder(tokenizer_path, added=True)), 0
         for batch in (x for y in batches for x in slices(y, "_text")):
             out: dict[str, list] = {x: [] for x in ("doc", "start", "length", "crc", "tokens", "salt", "ids")}
             for doc, text in zip(batch.column("_doc").to_pylist(), batch.column("_text")):

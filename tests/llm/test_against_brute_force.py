@@ -294,6 +294,22 @@ def test_token_ids_of_odd_texts():
     assert [own.encode(x).tolist() for x in texts] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_in_texts(spark):
+    """As tokenizers at its defaults, in encoder and packing."""
+    from tokenizers import Tokenizer
+
+    from codicil.llm.packing import ByteEncoder, pack_documents
+
+    texts = ["see <|endoftext|> x", "<|endoftext|>", "a  <|endoftext|>\n\n<|endoftext|><|endoftext|> é", "<|endoftext", "it's  <|endoftext|>the end "]
+    t = Tokenizer.from_file(q.tokenizer_path())
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [3826, 220, 50256, 2124]
+    own = ByteEncoder(q.tokenizer_path(), added=True)
+    assert [own.encode(x).tolist() for x in texts] == want
+    rows = pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer_path=q.tokenizer_path()).collect()
+    assert {r["doc_id"]: r["ids"] for r in rows} == {i: [*x, 1] for i, x in enumerate(want)}
+
+
 def shingles(text):
     w = WORD.findall(text.translate(LOW))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
