@@ -242,6 +242,45 @@ def test_vectors_recall(spark):
     assert (out.component_id == [want[i] for i in range(600)]).mean() >= 0.98
 
 
+def test_dense_group_of_vectors(spark):
+    """More vectors within the threshold than a block holds, copies among them: every link counts once, and few rows are made."""
+    from codicil.llm import emb_dedup
+
+    rng = np.random.default_rng(12)
+    head = rng.normal(size=64)
+    v = head / np.linalg.norm(head) + rng.normal(size=(3 * emb_dedup.BLOCK // 2, 64)) * rng.choice([0.005, 0.015, 0.02], (3 * emb_dedup.BLOCK // 2, 1))
+    v = np.concatenate([v, v[:40], rng.normal(size=(100, 64))])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.98) & ~np.eye(len(u), dtype=bool)
+    assert 100_000 < near.sum() < 0.9 * len(u) ** 2
+    out = emb_dedup.near_vectors(spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int"))
+    out = out.toPandas().set_index("vec_id").sort_index()
+    assert (out.n_links <= near.sum(axis=1)).all() and out.n_links.sum() >= 0.999 * near.sum()
+    want = components(range(len(u)), zip(*np.nonzero(near)))
+    assert list(out.component_id) == [want[i] for i in range(len(u))]
+
+
+def test_a_pair_counts_in_one_of_its_buckets():
+    """Plain loops over tables and buckets, against the rule on axes."""
+    from codicil.llm.emb_dedup import axes_of, bucket_keys, counted_here, units
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1, 32)) + rng.normal(size=(40, 32)) * 0.25
+    code, node = axes_of(units(x), 6, 3), rng.permutation(40).astype(np.int64)
+    keys = bucket_keys(code)
+    met, counted = set(), collections.Counter()
+    for t in range(6):
+        for bucket in np.unique(keys[:, t]):
+            inside = np.flatnonzero((keys[:, t] == bucket).any(axis=1))
+            own = keys[:, t, 0] == bucket
+            pairs = [(a, b) for a, b in itertools.combinations(inside, 2) if own[a] or own[b]]
+            if pairs:
+                met |= set(pairs)
+                i, j = np.array(pairs).T
+                counted.update(pairs[n] for n in counted_here(code, node, own, i, j, t))
+    assert len(met) > 50 and set(counted) == met and set(counted.values()) == {1}
+
+
 def test_packing(spark, small, texts):
     from tokenizers import Tokenizer
 
