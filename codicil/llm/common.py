@@ -112,3 +112,8 @@ def lowest_hashes(key: Column, rows: int, wanted: int) -> Column:
     """
     share = min(1.0, (1.2 * wanted + 1000) / max(rows, 1))
     return F.xxhash64(key) <= F.lit(int(min((2 * share - 1) * 2.0**63, 2.0**63 - 1025)))
+
+
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """df marked to be sent to all tasks if it has at most ``most`` rows; else as it is, for a join by shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
