@@ -195,31 +195,115 @@ def test_forward_recursion_is_exact():
     from codicil.llm.hmm import log_likelihoods
 
     rng = np.random.default_rng(0)
-    model = {"start": rng.dirichlet(np.ones(3)), "a": rng.dirichlet(np.ones(3), 3), "b": rng.dirichlet(np.ones(5), 3)}
+    model = {"start": rng.dirichlet(np.ones(3)), "a": rng.dirichlet(np.ones(3), 3), "b": rng.dirichlet(np.ones(5), 3).T}
     for seq in ([2], [0, 4, 1], [1, 1, 3, 0, 2]):
         total = 0.0
         for path in itertools.product(range(3), repeat=len(seq)):
-            p = model["start"][path[0]] * model["b"][path[0], seq[0]]
+            p = model["start"][path[0]] * model["b"][seq[0], path[0]]
             for i in range(1, len(seq)):
-                p *= model["a"][path[i - 1], path[i]] * model["b"][path[i], seq[i]]
+                p *= model["a"][path[i - 1], path[i]] * model["b"][seq[i], path[i]]
             total += p
         assert log_likelihoods(model, [np.array(seq)])[0] == pytest.approx(math.log10(total))
 
 
+def expected_counts(model, seqs):
+    """Baum-Welch counts by the textbook, one sequence after the other, nothing cut."""
+    k = len(model["a"])
+    out = {"a": np.zeros((k, k)), "b": np.zeros(model["b"].shape), "start": np.zeros(k), "ll": 0.0}
+    for s in seqs:
+        e = model["b"][s]
+        alpha, scale = [model["start"] * e[0]], []
+        for t in range(len(s)):
+            if t:
+                alpha.append((alpha[-1] @ model["a"]) * e[t])
+            scale.append(alpha[-1].sum())
+            alpha[-1] = alpha[-1] / scale[-1]
+        out["ll"] += sum(map(math.log, scale))
+        beta = np.ones(k)
+        for t in range(len(s) - 1, -1, -1):
+            gamma = alpha[t] * beta
+            out["b"][s[t]] += gamma
+            if t:
+                out["a"] += model["a"] * np.outer(alpha[t - 1], e[t] * beta / scale[t])
+                beta = model["a"] @ (e[t] * beta / scale[t])
+            else:
+                out["start"] += gamma
+    return out
+
+
+def test_sequences_are_not_cut():
+    """Segments of any length give the counts of whole sequences, transitions between segments included."""
+    from codicil.llm.hmm import forward_backward
+
+    rng = np.random.default_rng(4)
+    seqs = sorted((rng.integers(0, 6, int(rng.integers(1, 90))) for _ in range(30)), key=lambda s: -len(s))
+    model = {"start": rng.dirichlet(np.ones(3)), "a": rng.dirichlet(np.ones(3), 3), "b": rng.dirichlet(np.ones(6), 3).T}
+    want = expected_counts(model, seqs)
+    assert want["a"].sum() == pytest.approx(sum(len(s) - 1 for s in seqs))
+    for segment in (1, 7, 64, 1000):
+        got = {"a": np.zeros((3, 3)), "b": np.zeros((6, 3)), "start": np.zeros(3), "ll": 0.0}
+        forward_backward(model, seqs, got, segment)
+        assert all(np.allclose(got[x], want[x]) for x in want)
+
+
 def test_baum_welch_does_not_lose_likelihood():
     from codicil.llm.hmm import _rows, forward_backward, log_likelihoods
 
     rng = np.random.default_rng(4)
     seqs = sorted((rng.integers(0, 6, int(rng.integers(1, 40))) for _ in range(30)), key=lambda s: -len(s))
-    model = {"start": np.full(2, 0.5), "go": np.full(2, 0.5), "a": rng.dirichlet(np.ones(2), 2), "b": rng.dirichlet(np.ones(6), 2)}
+    model = {"start": np.full(2, 0.5), "a": rng.dirichlet(np.ones(2), 2), "b": rng.dirichlet(np.ones(6), 2).T}
     last = -np.inf
     for _ in range(6):
         now = log_likelihoods(model, seqs).sum()
         assert now >= last - 1e-9
         last = now
-        counts = {"a": np.zeros((2, 2)), "b": np.zeros((2, 6)), "start": np.zeros(2), "go": np.zeros(2)}
-        forward_backward(model, seqs, np.ones(len(seqs), bool), counts)
-        model |= {"a": _rows(counts["a"]), "b": _rows(counts["b"]), "start": counts["start"] / counts["start"].sum()}
+        counts = {"a": np.zeros((2, 2)), "b": np.zeros((6, 2)), "start": np.zeros(2), "ll": 0.0}
+        forward_backward(model, seqs, counts, 5)
+        assert counts["ll"] / math.log(10) == pytest.approx(now)
+        model |= {"a": _rows(counts["a"]), "b": counts["b"] / counts["b"].sum(axis=0), "start": counts["start"] / counts["start"].sum()}
+
+
+@pytest.mark.parametrize("head_words", [100_000, 12])
+def test_lm_scores_by_plain_loops(spark, head_words):
+    """Counts, classes, two rounds of Baum-Welch and scores again in plain Python; the same if most words are joined instead of sent."""
+    from codicil.llm.hmm import SHAPES, _rows, hash_spans, score_documents, shapes, starting
+    from codicil.llm.vectext import buffers
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    pool = [f"{a}{b}" for a in ("wind", "rain", "sun", "hail7", "snowé") for b in ("", "s", "y", "fall", "er", "9")]
+    docs = {i: " ".join(rng.choice(pool, int(rng.integers(1, 40)), p=(w := 1 / np.arange(1, len(pool) + 1)) / w.sum())) for i in range(30)} | {30: None, 31: "odd rarely"}
+    held = {d for d in docs if zlib.crc32(str(d).encode()) % 7 == 2}
+    tokens = {d: [*(t or "").split(), "\n"] for d, t in docs.items()}
+    n = collections.Counter(x for d, xs in tokens.items() if d not in held for x in xs)
+    own = sorted(x for x in n if n[x] >= 4 or x == "\n")
+
+    def of(words, f):
+        data, offsets = buffers(pa.array(words))
+        return f(data, offsets[:-1], offsets[1:])
+
+    shape = {x: int(of([x], shapes)[0]) for xs in tokens.values() for x in xs if x != "\n"}
+    name = {x: 0x454E44 if x == "\n" else int(of([x], hash_spans)[0]) for x in own}
+    cls = {x: own.index(x) if x in own else len(own) + shape[x] for xs in tokens.values() for x in xs}
+    mass = np.ones(len(own) + SHAPES)
+    for x in n:
+        mass[cls[x]] += n[x] if x in own else n[x] + 1
+    seqs = {d: np.array([cls[x] for x in xs]) for d, xs in tokens.items()}
+    b = starting(np.array([name[x] for x in own] + list(range(SHAPES)), np.uint64), mass, 3)
+    model = {"start": np.full(3, 1 / 3), "a": np.full((3, 3), 0.2 / 3) + 0.8 * np.eye(3), "b": b / b.sum(axis=0)}
+    for _ in range(2):
+        got = expected_counts(model, [s for d, s in seqs.items() if d not in held])
+        b = got["b"] + 200 * mass[:, None] / mass.sum() + 1e-3
+        model = {"a": _rows(got["a"] + 0.1), "start": _rows(got["start"][None] + 0.1)[0], "b": b / b.sum(axis=0)}
+    out = score_documents(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), states=3, own_count=4, head_words=head_words, rounds=2, settled=-math.inf, segment=5, block_tokens=100)
+    out = out.toPandas().set_index("doc_id")
+    for d, xs in tokens.items():
+        now, score = model["start"], 0.0
+        for t, x in enumerate(xs):
+            now = (now @ model["a"] if t else now) * model["b"][cls[x]]
+            score += math.log10(now.sum()) + (0 if x in own else math.log10((n[x] + 1) / mass[cls[x]]))
+            now = now / now.sum()
+        assert out.loc[d].score == pytest.approx(score, rel=1e-5)
 
 
 def test_vectors_recall(spark):
