@@ -1,11 +1,15 @@
 """Quality rules: fixed rules, then robust multivariate outliers. DataFrame functions only.
 
 Statistics of each whole text are transformed into a vector. For every language and source the minimum
-covariance determinant estimate is found by concentration steps (centre and covariance of the share of
-rows nearest to the last estimate), each of them two distributed aggregates. A document is rejected if
-its Mahalanobis distance from its group's estimate, given its length, is beyond the cutoff: the vector's
-first entry is the length, and its own part of the distance is left out, so that length alone never
-rejects a document but the other entries are judged as is usual at that length.
+covariance determinant estimate is found: from several starts, concentration steps (centre and covariance
+of the share of rows nearest to the last estimate, each of them two distributed aggregates) go on until no
+determinant falls any more, and the start of the smallest determinant is taken. The same is done for every
+language and for the whole table, and each estimate is drawn towards the wider one by its number of rows, so
+that a small group is judged by what is known of its language, without a size at which the rule changes. A
+document is rejected if its Mahalanobis distance is beyond a chi-square quantile.
+
+Groups are never brought together: aggregates are formed in two steps, and the estimates, a row for each
+language and source, are sent to the tasks if their number is bounded (and joined by shuffles if not).
 """
 
 from __future__ import annotations
@@ -13,17 +17,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_CHARS, Carried, materialise, words_of
+from .common import WHITE_CHARS, Carried, bounded, materialise, words_of
 
 # Fixed values of the contract.
 SYMBOLS = "#*$%&|<>"
 #: Least standard deviations: log words, log mean word length, log symbol rate, log rate of repeated lines, share of repeated words.
 FLOORS = (0.25, 0.04, 0.175, 0.4, 0.06)
 D = len(FLOORS)
-#: Median of the chi-square distribution with D - 1 degrees of freedom.
-CHI_MEDIAN = 3.3567
-#: Its quantile of 0.999. At the floors each entry but the length can pass it alone: ln 11 / 0.4 and 0.5 / 0.06, squared, are 36 and 69.
-CHI_999 = 18.4668
+#: Median and 0.999 quantile of the chi-square distribution with D degrees of freedom.
+CHI_MEDIAN, CHI_999 = 4.3515, 20.5150
+#: Starts of the concentration steps.
+STARTS = 3
+#: Estimates that are sent to all tasks.
+SENT_ROWS = 20_000
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -84,74 +90,105 @@ def vector() -> list[Column]:
 X = [f"_x{i}" for i in range(D)]
 
 
-def _chosen(rows: DataFrame, min_rows: int) -> tuple[DataFrame, DataFrame]:
-    """The rows with _group, and the rows that pass the fixed rules, each once for every _group it is fitted in.
+PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
+OF = ["_group", "_start"]
 
-    A group is language and source; where fewer than min_rows of its rows pass, all of the language; where
-    those are few too, the whole table.
-    """
-    name = lambda c: F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), c))
-    counts = materialise(rows.groupBy("_lang", "_source").agg(F.count(F.when(~F.col("_base"), 1)).alias("_k")), "rule-counts")
-    of_lang = counts.groupBy(F.col("_lang").alias("_l")).agg(F.sum("_k").alias("_all"))
-    own, lang, rest = F.concat_ws(" ", name(F.col("_lang")), name(F.col("_source"))), name(F.col("_lang")), F.lit("")
-    names = materialise(
-        counts.join(of_lang, F.col("_lang").eqNullSafe(F.col("_l"))).select(
-            F.col("_lang").alias("_gl"),
-            F.col("_source").alias("_gs"),
-            F.when(F.col("_k") >= min_rows, own).when(F.col("_all") >= min_rows, lang).otherwise(rest).alias("_group"),
-            F.array(own, lang, rest).alias("_may"),
-        ),
-        "rule-groups",
-    )
-    fed = names.select("_gl", "_gs", F.explode("_may").alias("_group")).join(names.select("_group").distinct(), "_group", "left_semi")
-    fed = materialise(fed, "rule-fed")
 
-    def placed(some: DataFrame, groups: DataFrame) -> DataFrame:
-        return some.join(groups, F.col("_lang").eqNullSafe(F.col("_gl")) & F.col("_source").eqNullSafe(F.col("_gs"))).drop("_gl", "_gs")
-
-    return placed(rows, names.drop("_may")), placed(rows.filter(~F.col("_base")).select("_lang", "_source", *X), fed).select("_group", *X)
+def _met(rows: DataFrame, small: DataFrame) -> DataFrame:
+    """Rows with what is known of their group and start."""
+    return rows.join(bounded(small, SENT_ROWS), [x for x in OF if x in small.columns])
 
 
 def _estimate(rows: DataFrame) -> DataFrame:
-    """Centre and lower Cholesky factor of the covariance, variances not under the floors, by _group."""
-    pairs = [(i, j) for i in range(D) for j in range(i + 1)]
-    sums = rows.groupBy("_group").agg(
-        *[F.avg(x).alias(f"_m{i}") for i, x in enumerate(X)],
-        *[F.covar_pop(X[i], X[j]).alias(f"_v{i}{j}") for i, j in pairs],
+    """Number of rows, centre, covariance (variances not under the floors) and its determinant, by group and start."""
+    sums = rows.groupBy(*OF).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.avg(x).alias(f"_m{i}") for i, x in enumerate(X)], *[F.covar_pop(X[i], X[j]).alias(f"_c{i}{j}") for i, j in PAIRS]
     )
-    for i, j in pairs:
-        left = F.col(f"_v{i}{j}") + (FLOORS[i] ** 2 if i == j else 0.0)
+    floored = [(F.col(f"_c{i}{j}") + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"_v{i}{j}") for i, j in PAIRS]
+    return _factored(sums.select(*OF, "_n", *[f"_m{i}" for i in range(D)], *floored))
+
+
+def _factored(sums: DataFrame) -> DataFrame:
+    """Adds _l, the lower Cholesky factor of _v, and _det, the logarithm of its determinant."""
+    for i, j in PAIRS:
+        left = F.col(f"_v{i}{j}")
         for k in range(j):
             left = left - F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}")
         sums = sums.withColumn(f"_l{i}{j}", F.sqrt(F.greatest(left, F.lit(1e-12))) if i == j else left / F.col(f"_l{j}{j}"))
-    return sums.select("_group", *[f"_m{i}" for i in range(D)], *[f"_l{i}{j}" for i, j in pairs])
+    return sums.withColumn("_det", sum(2.0 * F.log(F.col(f"_l{i}{i}")) for i in range(D)))
 
 
-def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """Adds _d2, the squared distance, and _c2, that without the part of the length."""
-    joined = rows.join(estimate, "_group")
+def _distance(joined: DataFrame) -> DataFrame:
+    """Adds _d2, the squared Mahalanobis distance of a row from the estimate beside it."""
     for i in range(D):
         left = F.col(X[i]) - F.col(f"_m{i}")
         for k in range(i):
             left = left - F.col(f"_l{i}{k}") * F.col(f"_y{k}")
         joined = joined.withColumn(f"_y{i}", left / F.col(f"_l{i}{i}"))
     squares = [F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(D)]
-    total = lambda xs: sum(xs[1:], xs[0])
-    return joined.withColumns({"_d2": total(squares), "_c2": total(squares[1:])}).select(*rows.columns, "_d2", "_c2")
+    return joined.withColumn("_d2", sum(squares[1:], squares[0]))
 
 
-def _nearest(rows: DataFrame, distance: str, share: float) -> DataFrame:
-    cut = rows.groupBy("_group").agg(F.percentile_approx(distance, share, 2000).alias("_cut"))
-    return rows.join(materialise(cut, "rule-cut"), "_group").filter(F.col(distance) <= F.col("_cut")).drop("_cut")
+def _nearest(rows: DataFrame, share: float) -> DataFrame:
+    """The share of each group's rows with the least _d2, for each start."""
+    cut = rows.groupBy(*OF).agg(F.percentile_approx("_d2", share, 2000).alias("_cut"))
+    return _met(rows, materialise(cut, "rule-cut")).filter(F.col("_d2") <= F.col("_cut")).select(*OF, *X)
+
+
+def least_determinants(fit: DataFrame, *, share: float = 0.75, steps: int = 20, settled: float = 1e-3) -> DataFrame:
+    """(_group, _x0, ...) -> the estimate of each group, with _n, its number of rows: _m, _v, _l and _det.
+
+    The starts are the half of the rows nearest to the medians in units of the mean absolute deviations, the
+    same with the entries' own deviations in the squares' place (which ignores far rows more), and all rows.
+    Steps end when no logarithm of a determinant falls by more than settled. The covariance is scaled so that
+    the median distance is that of a normal sample; a scale under 1 comes of wide floors and is taken as 1.
+    """
+    middle = materialise(fit.groupBy("_group").agg(F.count(F.lit(1)).alias("_all"), *[F.percentile_approx(x, 0.5, 2000).alias(f"_q{i}") for i, x in enumerate(X)]), "rule-middle")
+    off = fit.join(bounded(middle, SENT_ROWS), "_group")
+    wide = off.groupBy("_group").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"_q{i}")), 0.5, 2000).alias(f"_w{i}") for i, x in enumerate(X)])
+    off = off.join(bounded(materialise(wide, "rule-wide"), SENT_ROWS), "_group")
+    part = [F.abs(F.col(x) - F.col(f"_q{i}")) / (1.4826 * F.col(f"_w{i}") + FLOORS[i]) for i, x in enumerate(X)]
+    first = [sum((y * y for y in part[1:]), part[0] * part[0]), F.greatest(*part), F.lit(0.0)]
+    begun = off.select("_group", *X, F.posexplode(F.array(*first)).alias("_start", "_d2"))
+    estimate = materialise(_estimate(_nearest(begun, 0.5)), "rule-estimate")
+    started = fit.withColumn("_start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))))
+    for _ in range(steps):
+        now = materialise(_estimate(_nearest(_distance(_met(started, estimate)).select(*OF, *X, "_d2"), share)), "rule-estimate")
+        fell = now.join(estimate.select(*OF, F.col("_det").alias("_last")), OF).agg(F.max(F.col("_last") - F.col("_det"))).first()[0]
+        estimate = now
+        if fell is None or fell <= settled:
+            break
+    best = estimate.groupBy("_group").agg(F.min(F.struct("_det", "_start"))["_start"].alias("_start"))
+    best = materialise(estimate.join(best, OF).drop("_start"), "rule-best")
+    scale = _distance(fit.join(bounded(best, SENT_ROWS), "_group")).groupBy("_group").agg((F.percentile_approx("_d2", 0.5, 2000) / CHI_MEDIAN).alias("_scale"))
+    wider = [(F.col(f"_v{i}{j}") * F.greatest("_scale", F.lit(1.0))).alias(f"_v{i}{j}") for i, j in PAIRS]
+    told = best.join(materialise(scale, "rule-scale"), "_group").join(middle.select("_group", "_all"), "_group")
+    return materialise(told.select("_group", F.col("_all").alias("_n"), *[f"_m{i}" for i in range(D)], *wider), "rule-told")
+
+
+def _drawn(names: DataFrame, estimates: DataFrame, weight: float) -> DataFrame:
+    """For each language and source its estimate, drawn towards that of the language, and that towards the whole table's.
+
+    An estimate of n rows counts n / (n + weight); what it leaves is the wider one's.
+    """
+    cols = [*[f"_m{i}" for i in range(D)], *[f"_v{i}{j}" for i, j in PAIRS]]
+    out = names
+    for at in (2, 1, 0):
+        of = estimates.select(F.col("_group").alias("_g"), F.col("_n").alias("_k"), *[F.col(x).alias(f"{x}_") for x in cols])
+        out = out.join(of, F.col("_may")[at] == F.col("_g"), "left")
+        own = F.coalesce(F.col("_k") / (F.col("_k") + weight), F.lit(0.0)) if at < 2 else F.lit(1.0)
+        mixed = {x: F.coalesce(F.col(f"{x}_"), F.lit(0.0)) * own + F.col(x) * (1.0 - own) if at < 2 else F.col(f"{x}_") for x in cols}
+        out = out.withColumns(mixed).drop("_g", "_k", *[f"{x}_" for x in cols])
+    return _factored(out).drop("_may", "_det")
 
 
 def judge_documents(
     docs: DataFrame,
     *,
     share: float = 0.75,
-    steps: int = 3,
+    steps: int = 20,
     cutoff: float = CHI_999,
-    min_rows: int = 200,
+    weight: float = 200.0,
     carry_text: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -161,9 +198,11 @@ def judge_documents(
     """Returns the rows of docs (without the text, unless carry_text) with n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, distance (null only if no row passes the fixed rules) and kept.
 
-    Null text has no words and fails. Null languages and sources are values of their own. Where fewer than
-    min_rows rows of a language and source pass the fixed rules, its rows are judged by the estimate of the
-    language, and where those are few too, by that of the whole table, however small it is. Repeated rows are judged one by one. Columns with the names of the new ones are replaced.
+    Null text has no words and fails. Null languages and sources are values of their own. Estimates are made
+    of the rows that pass the fixed rules; that of a language and source with n of them counts
+    n / (n + weight), the language's the rest. Repeated rows are judged one by one; rows equal in statistics,
+    language and source get one verdict. Columns with the names of the new ones are replaced. All words of a
+    text are in one row's memory at once, with about 60 bytes for each.
     """
     c = Carried(docs, doc=id_col, text=text_col, lang=lang_col, source=source_col)
     named = c.df.withColumns({"_lang": c.col("lang").cast("string"), "_source": c.col("source").cast("string")})
@@ -172,21 +211,14 @@ def judge_documents(
     stats = stats.withColumns(dict(zip(X, vector())))
     if not carry_text:
         stats = stats.drop(c.at["text"])
-    rows, fit = (materialise(x, n) for x, n in zip(_chosen(materialise(stats, "rule-stats"), min_rows), ("rule-rows", "rule-fit")))
-    # Start: the half nearest to the medians, in units of the floors and the mean absolute deviations.
-    middle = materialise(fit.groupBy("_group").agg(*[F.percentile_approx(x, 0.5, 2000).alias(f"_q{i}") for i, x in enumerate(X)]), "rule-middle")
-    off = fit.join(middle, "_group")
-    wide = materialise(off.groupBy("_group").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"_q{i}")), 0.5, 2000).alias(f"_w{i}") for i, x in enumerate(X)]), "rule-wide")
-    first = sum(((F.col(x) - F.col(f"_q{i}")) / (1.4826 * F.col(f"_w{i}") + FLOORS[i])) ** 2 for i, x in enumerate(X))
-    near = _nearest(off.join(wide, "_group").withColumn("_d2", first).select("_group", *X, "_d2"), "_d2", 0.5)
-    estimate = materialise(_estimate(near), "rule-estimate")
-    for _ in range(steps):
-        estimate = materialise(_estimate(_nearest(_distance(fit, estimate), "_d2", share)), "rule-estimate")
-    scale = materialise(
-        _distance(fit, estimate).groupBy("_group").agg((F.percentile_approx("_c2", 0.5, 2000) / CHI_MEDIAN).alias("_scale")), "rule-scale"
-    )
-    judged = rows.join(estimate.join(scale, "_group"), "_group", "left")
-    told = _distance_left(judged)
+    rows = materialise(stats, "rule-stats")
+    name = lambda x: F.when(x.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), x))
+    may = F.array(F.concat_ws(" ", name(F.col("_lang")), name(F.col("_source"))), name(F.col("_lang")), F.lit(""))
+    fit = materialise(rows.filter(~F.col("_base")).select(may.alias("_may"), *X), "rule-fit").select(F.explode("_may").alias("_group"), *X)
+    names = materialise(rows.groupBy("_lang", "_source").agg(F.first(may).alias("_may")), "rule-groups")
+    drawn = _drawn(names.withColumnsRenamed({"_lang": "_gl", "_source": "_gs"}), least_determinants(fit, share=share, steps=steps), weight)
+    drawn = bounded(materialise(drawn, "rule-drawn"), SENT_ROWS)
+    told = _distance(rows.join(drawn, F.col("_lang").eqNullSafe(F.col("_gl")) & F.col("_source").eqNullSafe(F.col("_gs")), "left"))
     names = [n for i, n in enumerate(c.names) if carry_text or f"_c{i}" != c.at["text"]]
     c.names, keep = names, [f"_c{i}" for i in range(len(c.names)) if carry_text or f"_c{i}" != c.at["text"]]
     told = told.withColumnsRenamed({old: f"_k{i}" for i, old in enumerate(keep)})
@@ -200,22 +232,7 @@ def judge_documents(
             "n_dup_lines": F.col("_n_dup_lines"),
             "n_repeat_words": F.col("_n_repeat_words"),
             "base_failed": F.col("_base"),
-            "distance": F.col("_far"),
-            "kept": ~F.col("_base") & (F.coalesce("_far", F.lit(0.0)) <= cutoff),
+            "distance": F.col("_d2"),
+            "kept": ~F.col("_base") & (F.coalesce("_d2", F.lit(0.0)) <= cutoff),
         },
     )
-
-
-def _distance_left(judged: DataFrame) -> DataFrame:
-    """_far: the squared distance given the length over the group's scale; null where there is no estimate.
-
-    A scale under 1 comes of floors wider than the data and is taken as 1.
-    """
-    out = judged
-    for i in range(D):
-        left = F.col(X[i]) - F.col(f"_m{i}")
-        for k in range(i):
-            left = left - F.col(f"_l{i}{k}") * F.col(f"_y{k}")
-        out = out.withColumn(f"_y{i}", left / F.col(f"_l{i}{i}"))
-    squares = [F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(1, D)]
-    return out.withColumn("_far", sum(squares[1:], squares[0]) / F.greatest("_scale", F.lit(1.0)))

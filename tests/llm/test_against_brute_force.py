@@ -148,6 +148,63 @@ def test_outliers_are_rejected_and_others_kept(spark):
     assert not out.loc[range(1000, 1020)].kept.any()
 
 
+def test_distances_by_plain_loops(spark):
+    """The estimates of every group, their drawing towards wider ones and all distances again in numpy."""
+    from codicil.llm import quality_rules as r
+
+    rng = np.random.default_rng(7)
+    pool = ["".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 9)))) for _ in range(2000)]
+    text = lambda n, mark: "\n".join(" ".join(x + mark * int(rng.random() < 0.1) for x in rng.choice(pool, 12)) for _ in range(n))
+    groups = [("en", "a", 300), ("en", "b", 40), ("de", "a", 90), ("de", None, 3), (None, "a", 30), ("fr", "c", 1)]
+    rows = [(1000 * g + i, text(int(rng.integers(5, 30)), "###" if i % 11 == 0 else "#"), lang, source) for g, (lang, source, n) in enumerate(groups) for i in range(n)]
+    out = r.judge_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas().set_index("doc_id").sort_index()
+
+    def vector(t):
+        w = WORD.findall(t)
+        runs = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        n = collections.Counter(runs)
+        under = {j for i, g in enumerate(runs) if n[g] > 1 for j in (i, i + 1, i + 2)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        chars = sum(map(len, w))
+        return [math.log1p(len(w)), math.log(chars / len(w) + 0.5), math.log1p(100 * sum(c in r.SYMBOLS for c in t) / chars), math.log1p(10 * (len(lines) - len(set(lines))) / len(lines)), len(under) / len(w)]
+
+    x, floors = np.array([vector(t) for _, t, _, _ in rows]), np.diag(np.square(r.FLOORS))
+    at_rank = lambda v, share: np.sort(v, axis=0)[max(math.ceil(share * len(v)), 1) - 1]
+
+    def estimate(rows):
+        return rows.mean(axis=0), np.cov(rows.T, bias=True).reshape(5, 5) + floors
+
+    def distance(rows, m, v):
+        return np.einsum("ni,ij,nj->n", rows - m, np.linalg.inv(v), rows - m)
+
+    def mcd(rows):
+        off = np.abs(rows - at_rank(rows, 0.5))
+        part = off / (1.4826 * at_rank(off, 0.5) + np.array(r.FLOORS))
+        best = None
+        for d in ((part**2).sum(axis=1), part.max(axis=1), np.zeros(len(rows))):
+            m, v = estimate(rows[d <= at_rank(d, 0.5)])
+            for _ in range(20):
+                d = distance(rows, m, v)
+                m, v = estimate(rows[d <= at_rank(d, 0.75)])
+            if best is None or np.linalg.det(v) < np.linalg.det(best[1]) * (1 - 1e-9):
+                best = m, v
+        m, v = best
+        return m, v * max(1, at_rank(distance(rows, m, v), 0.5) / r.CHI_MEDIAN)
+
+    lang, source = (np.array([str(row[i]) for row in rows]) for i in (2, 3))
+    want = np.empty(len(rows))
+    whole = mcd(x)
+    for a in set(lang):
+        share = (lang == a).sum() / ((lang == a).sum() + 200)
+        wide = [share * p + (1 - share) * q for p, q in zip(mcd(x[lang == a]), whole)]
+        for b in set(source[lang == a]):
+            here = (lang == a) & (source == b)
+            share = here.sum() / (here.sum() + 200)
+            want[here] = distance(x[here], *[share * p + (1 - share) * q for p, q in zip(mcd(x[here]), wide)])
+    assert not out.base_failed.any() and (out.kept == (out.distance <= r.CHI_999)).all() and 5 < (~out.kept).sum() < 100
+    assert np.allclose(out.distance, want, rtol=1e-3)
+
+
 def test_rows_of_small_groups_are_judged(spark):
     """Groups that only rows failing the fixed rules make large, and rare or null languages, are judged by a wider estimate."""
     from codicil.llm.quality_rules import judge_documents
