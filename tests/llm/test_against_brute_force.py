@@ -547,15 +547,43 @@ def test_statistics_of_a_text_do_not_depend_on_its_neighbours():
 
 
 def test_network_finds_secrets_and_leaves_plain_tokens():
-    from codicil.llm.secret_scan import labelled_findings, train
+    from codicil.llm.secret_scan import labelled_findings, shape_of, train
 
     net = train([])
     windows, y = labelled_findings(99, 600)
-    p = net.probability(windows)
-    y = np.array(y)
-    assert (p[y == 1] >= net.threshold).mean() >= 0.9
-    assert (p[y == 0] >= net.threshold).mean() <= 0.05
-    assert isinstance(pd.Series(p).mean(), float)
+    found, y = net.margin(windows) >= 0, np.array(y)
+    assert found[y == 1].mean() >= 0.9 and found[y == 0].mean() <= 0.05
+    shapes = shape_of(np.array([list(w) for w in windows], np.uint8))
+    assert all(found[(y == 1) & (shapes == i)].mean() >= 0.85 for i in range(3))
+
+
+def test_forward_pass_by_plain_loops():
+    from codicil.llm.secret_scan import BEFORE, WIDTH, CharNet, labelled_findings
+
+    net = CharNet(3)
+    for w in labelled_findings(7, 12)[0]:
+        e = [net.p["emb"][net.classes[c]] for c in w]
+        most = [[0.0] * len(net.p["bias"]) for _ in range(2)]
+        for at in range(WIDTH - 4):
+            for f in range(len(net.p["bias"])):
+                v = net.p["bias"][f] + sum(e[at + j][i] * net.p["conv"][8 * j + i, f] for j in range(5) for i in range(8))
+                side = most[at >= BEFORE - 2]
+                side[f] = max(side[f], v)
+        z = sum(a * b for a, b in zip(most[0] + most[1], net.p["out"])) + net.p["off"][0]
+        assert net.logits([w])[0] == pytest.approx(z, rel=1e-4, abs=1e-5)
+
+
+def test_all_findings_of_a_document_can_train(spark, monkeypatch):
+    """Not the first of a document alone; and candidates of the corpus are the harmless ones."""
+    from codicil.llm import secret_scan as s
+
+    seen, real = [], s.train
+    monkeypatch.setattr(s, "train", lambda a, b=[], **k: (seen.append((a, b)), real(a[:5], b[:5], generated=200))[1])
+    text = " and ".join(f"token = abcdef{i:03d}" for i in range(40)) + " SHOUTED words"
+    s.scan_secrets(spark.createDataFrame([(1, text), (2, "nothing here at all, harmless")], "doc_id long, text string")).count()
+    findings, plain = seen[0]
+    assert len(set(findings)) == 40 and 2 <= len(plain) <= 12
+    assert any(w[s.BEFORE :].startswith(b"SHOUTED") for w in plain) and not any(b"abcdef0" in w[s.BEFORE : s.BEFORE + s.WITHIN] for w in plain)
 
 
 def test_whole_candidates_are_scored(spark):
@@ -569,13 +597,16 @@ def test_whole_candidates_are_scored(spark):
         'auth = "QwErTyUiOpAsDfGhJkLzXcVbNmqWe" z',
         "é words " + "abcde/" * 20 + key,
         "plain words are harmless, and so is internationalization",
+        "sent eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U back",
+        'db_value = "Zk83mQx0Lr5TtYb2Wn7HsVc4Dj" next',
+        "write to postmaster.example.org or see https://www.example.org/archive/2021/report-final.html, VERSION 20210412",
     ]
     out = scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id").sort_index()
     for i, wanted in enumerate((key, key, "QwErTyUiOpAsDfGhJkLzXcVbNmqWe", key)):
         at = texts[i].index(wanted)
         spans = [x.split(":") for x in out.spans[i].split(",")]
         assert any(k == "cnn" and int(a) <= at and int(b) >= at + len(wanted) for k, a, b in spans), i
-    assert out.spans[1].startswith("hex:9:49") and out.spans[4] == ""
+    assert out.spans[1].startswith("hex:9:49") and out.spans[4] == out.spans[7] == "" and "cnn:5:" in out.spans[5] and "cnn:12:" in out.spans[6]
 
 
 def test_windows_cover_a_candidate_and_stay_in_their_text():
