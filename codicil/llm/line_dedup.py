@@ -5,8 +5,9 @@ per hash, and the lines of frequent keys go, except in the largest doc_id that h
 hashes and positions are shuffled for the counts; the texts move once, when each document meets the
 positions of its dropped lines.
 
-Skew: the count is a two-step partial aggregate (by key and document, then by key), and the join of
-lines with frequent keys is a plain equi join, which adaptive execution splits where a key is hot.
+Skew: the count is a two-step partial aggregate (by key and document, then by key). Frequent keys are written
+as a table; if it has few rows it is sent to all tasks and the lines are not shuffled for it, else lines and
+table meet in an equi join of two plain tables, which adaptive execution splits where a key is hot.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_CHARS, Carried, ascii_lower
+from .common import WHITE_CHARS, Carried, ascii_lower, bounded, materialise
+
+#: Frequent keys (24 bytes each) that are sent to all tasks.
+SENT_ROWS = 200_000
 
 
 def line_key(line: Column) -> Column:
@@ -28,7 +32,8 @@ def drop_repeated_lines(
 
     Null text counts as one empty line and stays null. A null doc_id is one unnamed document, smaller
     than any other. Rows that share a doc_id count as one document; each row comes back. An empty table
-    gives an empty table. Columns called n_lines or n_dropped are replaced.
+    gives an empty table. Columns called n_lines or n_dropped are replaced. A very long text is one row in a
+    task's memory, with its lines. Of a line that repeats in its document all occurrences go or stay, so there are no ties.
     """
     c = Carried(docs, doc=id_col, text=text_col)
     text = F.coalesce(c.col("text"), F.lit(""))
@@ -40,17 +45,18 @@ def drop_repeated_lines(
         .filter(F.char_length("_key") >= min_chars)
         .select("_doc", "_mark", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(7), "_key").alias("_h2"))
     )
-    frequent = (
+    frequent = materialise(
         lines.select("_h1", "_h2", "_doc")
         .distinct()
         .groupBy("_h1", "_h2")
         .agg(F.count(F.lit(1)).alias("_n"), F.max("_doc").alias("_keep"))
         .filter(F.col("_n") >= min_docs)
-        .drop("_n")
+        .drop("_n"),
+        "frequent-lines",
     )
     # In pos order, true for each line that stays and false for each that goes; lines after the last drop are left out.
     gone = (
-        lines.join(frequent, ["_h1", "_h2"])
+        lines.join(bounded(frequent, SENT_ROWS), ["_h1", "_h2"])
         .filter(~F.col("_doc").eqNullSafe(F.col("_keep")))
         .groupBy("_doc", "_mark")
         .agg(F.sort_array(F.collect_set("_pos")).alias("_gone"))
