@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Carried, lowest_hashes, small_batches
+from .common import Carried, bounded, lowest_hashes, materialise, small_batches
 from .vectext import buffers, hash_spans, mix, slices, word_spans
 
 #: Classes of bytes whose shares are statistics.
@@ -174,7 +174,7 @@ def score_quality(
     threshold: float = 0.7,
     folds: int = 4,
     held_fold: int = 2,
-    train_rows: int = 50_000,
+    train_rows: int = 20_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_id_col: str = "doc_id",
@@ -185,7 +185,9 @@ def score_quality(
     Learns from at most train_rows labelled documents (a fixed, hash-ordered sample), none of fold
     held_fold of crc32(doc_id as text); a null doc_id counts as ''. Null labels do not count; an id labelled
     both ways is 1 if most of its labels are. Null and empty texts have a score like any other. Without labels every score is 1:
-    nothing is known against any document. Columns named like the new ones are replaced.
+    nothing is known against any document. Columns named like the new ones are replaced. Repeated rows get
+    equal scores; a score does not depend on other rows, so there are no ties. A very long text is one row in a
+    task's memory, with some 60 bytes for each of its words.
     """
     small_batches(docs.sparkSession)
     c, known = Carried(docs, doc=id_col, text=text_col), Carried(labels, doc=label_id_col, label=label_col)
@@ -194,13 +196,14 @@ def score_quality(
         .groupBy(known.col("doc").alias("_id"))
         .agg((F.avg(known.col("label").cast("double")) >= 0.5).cast("double").alias("_y"))
     )
-    # Only documents that the sample can hold are measured for it.
+    # Only documents that the sample can hold are measured for it; their ids are few, so no text is shuffled.
     known_rows = told.filter(fold("_id", folds) != held_fold).count()
+    wanted = materialise(told.filter((fold("_id", folds) != held_fold) & lowest_hashes(F.col("_id"), known_rows, train_rows)), "labelled")
     sample = (
         c.df.select(c.col("doc").alias("_doc"), c.col("text").alias("_text"))
-        .filter(F.col("_doc").isNotNull() & (fold("_doc", folds) != held_fold) & lowest_hashes(F.col("_doc"), known_rows, train_rows))
+        .join(bounded(wanted.select(F.col("_id").alias("_wanted")), 2 * train_rows + 10_000), F.col("_doc") == F.col("_wanted"), "left_semi")
         .mapInArrow(_measured, f"_doc {dict(c.df.dtypes)[c.at['doc']]}, _stats array<double>")
-        .join(told, F.col("_doc") == F.col("_id"))
+        .join(wanted, F.col("_doc") == F.col("_id"))
         .orderBy(F.xxhash64("_doc"), "_doc", "_stats")
         .limit(train_rows)
         .select("_y", "_stats")
