@@ -64,7 +64,9 @@ def mix_sources(
 
     Null text has size 0; a null source is a source of its own, last in order. Rows that are equal are
     separate documents. Documents of size 0 are dealt copies like others of their source. A source
-    without words has target 0 and no copies. Columns with the names of the new ones are replaced.
+    without words has target 0 and no copies. Columns with the names of the new ones are replaced. Documents
+    that tie in size, salt and id are equal in all that is returned but columns beside; which of them is drawn is
+    left open. A very long text is one row in a task's memory.
     """
     c = Carried(docs, doc=id_col, text=text_col, source=source_col)
     base = (
@@ -104,7 +106,7 @@ def mix_sources(
 
 
 def emit_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: each document of mix_sources as often as it was drawn, with the given columns."""
-    return mixed.filter(F.col("copies") > 0).select(
-        *[F.col(f"`{x}`") for x in columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
-    ).drop("_copy")
+    """The mix itself: each document of mix_sources as often as it was drawn, with the given columns, whatever their names."""
+    names = [f"_o{i}" for i in range(len(columns))]
+    copies = mixed.filter(F.col("copies") > 0).select(*[F.col(f"`{x}`").alias(n) for x, n in zip(columns, names)], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_n"))
+    return copies.select(*names).toDF(*columns)
