@@ -35,6 +35,7 @@ SLACK = 0.25
 #: Rows of one part of a block of signatures, and of texts; shingles of one part of a block of texts.
 BLOCK, TEXTS, SHINGLES = 1024, 256, 1_000_000
 BLOCK_KEY = ("_table", "_key", "_lo", "_hi")
+LIKELY = ("_table", "_key", "_node", "_group", "_n", "_sig")
 #: Rows of ids that are sent to all tasks; more are joined by a shuffle.
 SENT_ROWS = 200_000
 #: A bucket's head is its lowest member in one of these orders.
@@ -132,12 +133,12 @@ def _asked(block: pa.RecordBatch, floor: float, minhashes: int) -> tuple[np.ndar
 
 
 def _likely(floor: float, minhashes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Blocks of signatures -> the rows' (_table, _key, _node) that have a partner in the block to be compared with."""
+    """Blocks of signatures -> the rows that have a partner in the block to be compared with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in grouped(batches, BLOCK_KEY):
             at = pa.array(np.unique(np.concatenate(_asked(block, floor, minhashes))))
-            yield pa.RecordBatch.from_arrays([block.column(c).take(at) for c in ("_table", "_key", "_node")], ["_table", "_key", "_node"])
+            yield pa.RecordBatch.from_arrays([block.column(c).take(at) for c in LIKELY], list(LIKELY))
 
     return run
 
@@ -321,16 +322,15 @@ def near_duplicates(
     rest = placed.join(mixed, (F.col("_table") == F.col("_t")) & (F.col("_key") == F.col("_k")))
     parts = F.ceil(F.col("_many") / BLOCK)
     likely = materialise(
-        halved(rest.withColumn("_parts", parts).join(signatures, "_node"), BLOCK_KEY, "_node", "_group", "_sig")
-        .mapInArrow(_likely(floor, minhashes), "_table int, _key long, _node long")
-        .distinct(),
+        halved(rest.withColumn("_parts", parts).join(classes.select("_node", "_n", "_sig"), "_node"), BLOCK_KEY, "_node", "_group", "_n", "_sig")
+        .mapInArrow(_likely(floor, minhashes), "_table int, _key long, _node long, _group long, _n long, _sig binary")
+        .dropDuplicates(["_table", "_key", "_node"]),
         "likely",
     )
     texts = texts_of(likely.select("_node"), "block")
-    sized = likely.join(classes.select("_node", "_n", "_sig"), "_node")
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / TEXTS, F.sum("_n") / SHINGLES))
-    counted = sized.join(sized.groupBy("_table", "_key").agg(parts.alias("_parts")), ["_table", "_key"])
-    blocks = halved(with_groups(counted, groups).join(texts, "_node"), BLOCK_KEY, "_node", "_group", "_sig", "_text")
+    counted = likely.join(likely.groupBy("_table", "_key").agg(parts.alias("_parts")), ["_table", "_key"])
+    blocks = halved(counted.join(texts, "_node"), BLOCK_KEY, "_node", "_group", "_sig", "_text")
     links = links.unionByName(materialise(blocks.mapInArrow(_linked(k, percent, floor, minhashes), "x long, y long"), "block-links"))
     groups = materialise(components(links, "x", "y"), "groups")
 

@@ -76,6 +76,33 @@ def test_empty_table(empty, name):
     assert RUNS[name](empty).count() == 0
 
 
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_lines_with_keys_sent_or_joined(docs, sent, monkeypatch):
+    from codicil.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "SENT_ROWS", sent)
+    out = by_id(drop_repeated_lines(docs))
+    assert [out[i]["n_dropped"] for i in (5, 6, 7)] == [1, 1, 0]
+
+
+def test_pipeline_edges(spark, docs, empty, tmp_path):
+    """Nulls, repeated rows, a long text and columns of the operators' names; every stage takes and returns them, an empty table too."""
+    import corpus_pipeline as p
+
+    labels(spark).write.parquet(f"{tmp_path}/labels.parquet")  # without any label all documents pass the first stage
+    for some in (docs, empty):
+        now = some
+        for name, stage in p.STAGES:
+            out = stage(spark, now, str(tmp_path))
+            if name != "packing":
+                assert out.columns == now.columns, name
+                now = out.cache()
+            assert (out.count() > 0) == (some is docs), name
+        if some is docs:
+            pieces = {r["doc_id"]: r["doc_tokens"] for r in out.collect()}
+            assert max(pieces.values()) > 80_000 and None not in pieces  # a null id gives way to the same text under an id
+
+
 def by_id(df):
     return {r["doc_id"]: r for r in df.collect()}
 

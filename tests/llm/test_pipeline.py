@@ -1,6 +1,14 @@
 """Each stage of the pipeline takes effect on all that its predecessor kept."""
 
+import collections
+import hashlib
+import itertools
+import math
+import re
+import zlib
+
 import corpus_pipeline as p
+import numpy as np
 from pyspark.sql import functions as F
 
 
@@ -38,3 +46,95 @@ def test_near_copies_at_four_fifths_go(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r["doc_id"] for r in p.minhash_near_dedup(spark, docs, "").collect()}
     assert kept == {0, 10, 20, 21}
+
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def walked(model, x):
+    """One text's statistics through the trees, node by node."""
+    total = float(model["base"])
+    for feature, threshold, leaf in zip(model["feature"], model["threshold"], model["leaf"]):
+        at = 0
+        while at < len(feature):
+            at = 2 * at + (2 if x[feature[at]] > threshold[at] else 1)
+        total += leaf[at - len(feature)]
+    return 1 / (1 + math.exp(-total))
+
+
+def test_stages_by_plain_python(spark, small, monkeypatch):
+    """All five stages again over the whole small table, text by text; only the fitted trees are taken over."""
+    import pyarrow as pa
+    from codicil.llm import quality
+    from codicil.llm.mixing import size_class
+    from codicil.llm.queries import tokenizer_path
+    from tokenizers import Tokenizer
+
+    models, real = [], quality.fit_trees
+    monkeypatch.setattr(quality, "fit_trees", lambda *a, **k: (models.append(real(*a, **k)), models[-1])[1])
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    out = [docs]
+    for _, stage in p.STAGES:
+        out.append(stage(spark, out[-1], small).cache())
+    rows = [[r.asDict() for r in d.collect()] for d in out]
+    texts = {r["doc_id"]: r["text"] for r in rows[0]}
+
+    kept = {d for d, t in texts.items() if walked(models[0], quality.statistics(pa.array([t], pa.string()))[0]) >= 0.7}
+    assert {r["doc_id"] for r in rows[1]} == kept and len(rows[1]) == len(kept) < len(texts)
+
+    lines = {d: [(x, x.strip(" \t\n\x0b\x0c\r").translate(LOW)) for x in (texts[d] or "").split("\n")] for d in kept}
+    held = collections.defaultdict(set)
+    for d, xs in lines.items():
+        for _, k in xs:
+            held[k].add(d)
+    gone = {k: max(v) for k, v in held.items() if len(k) >= 20 and len(v) >= 3}
+    texts = {d: "\n".join(x for x, k in xs if gone.get(k, d) == d) for d, xs in lines.items()}
+    assert {r["doc_id"]: r["text"] or "" for r in rows[2]} == texts
+
+    sets = {}
+    for d, t in texts.items():
+        w = WORD.findall(t.translate(LOW))
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    low = {d: d for d in texts}
+    links = [(a, b) for a, b in itertools.combinations(sorted(texts), 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in links:
+        before = dict(low)
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+        if low == before:
+            break
+    kept = {d for d in texts if low[d] == d}
+    assert links and {r["doc_id"] for r in rows[3]} == kept and len(rows[3]) == len(kept)
+
+    source = {r["doc_id"]: r["source"] for r in rows[3]}
+    size = {d: len(WORD.findall(texts[d])) for d in kept}
+    total = collections.Counter()
+    for d in kept:
+        total[source[d]] += size[d]
+    names = sorted(total, key=lambda x: (x is None, x or ""))
+    weight = {x: (5, 2, 1)[i % 3] for i, x in enumerate(names)}
+    target, left, free = {}, 1.5 * sum(total.values()), set(names)
+    while full := {x for x in free if left / sum(weight[y] for y in free) * weight[x] > 2 * total[x]}:
+        target |= {x: 2.0 * total[x] for x in full}
+        left -= sum(target[x] for x in full)
+        free -= full
+    target |= {x: left / sum(weight[y] for y in free) * weight[x] for x in free}
+    classes = {n: c for n, c in spark.createDataFrame([(n,) for n in set(size.values())], "n long").select("n", size_class(F.col("n"))).collect()}
+    copies = {}
+    for x in names:
+        md5 = lambda t, n: int(hashlib.md5(t.encode()).hexdigest()[:n], 16)
+        mine = sorted((d for d in kept if source[d] == x), key=lambda d: (classes[size[d]], md5(str(d), 2), size[d], d))
+        rate, start = target[x] / total[x] if total[x] else 0.0, md5("1" if x is None else "0" + x, 3) / 4096
+        for i, d in enumerate(mine):
+            copies[d] = math.floor((i + 1) * rate + start) - math.floor(i * rate + start)
+    assert collections.Counter(r["doc_id"] for r in rows[4]) == {d: n for d, n in copies.items() if n}
+
+    t = Tokenizer.from_file(tokenizer_path())
+    ids = {d: np.array([*t.encode(texts[d], add_special_tokens=False).ids, 1]) for d in kept}
+    seen, room = collections.Counter(), collections.Counter()
+    for r in rows[5]:
+        assert r["ids"] == ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tolist() and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        seen[r["doc_id"]] += r["length"]
+        room[r["sequence_id"]] += r["length"]
+    assert seen == {d: len(ids[d]) * n for d, n in copies.items() if n} and max(room.values()) <= 2048
