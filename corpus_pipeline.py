@@ -1,7 +1,11 @@
 """The corpus pipeline: raw documents to packed training sequences.
 
 Each stage is a function of (spark, docs, sf_dir) whose result is written as Parquet and read again as
-the next stage's docs. All stages but the last return the columns of documents.
+the next stage's docs. All stages but the last return the columns of documents, in their order, whatever
+they are; an empty table passes through. Nulls, very long texts, ties and repeated rows are taken as the
+operators take them: a null text is empty, a row that comes twice is two documents of one id, of which the
+near-dedup stage keeps both (they are one document to it), and a document without an id stays only where no
+other of its group has one.
 """
 
 from __future__ import annotations
@@ -54,7 +58,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The first stage learns a model, which SQL can't express; tests hold the stages against brute force.
+#: The first stage learns a model, which SQL can't express; tests/llm/test_pipeline.py does all stages again in plain Python.
 ORACLE_SQL = None
 
 
