@@ -13,9 +13,14 @@ def latest(rows: DataFrame, key: str | list[str], by: str) -> DataFrame:
     return rows.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
 
 
+def last_of(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key, the last in the order in which the rows are read."""
+    return latest(rows.withColumn("_at", F.monotonically_increasing_id()), key, "_at").drop("_at")
+
+
 def upsert(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """new replaces what has its keys; of rows of new that share a key any one stays."""
-    return current.join(new.select(key).distinct(), key, "left_anti").unionByName(new.dropDuplicates([key]), allowMissingColumns=True)
+    """new replaces what has its keys; of rows of new that share a key the last stays."""
+    return current.join(new.select(key).distinct(), key, "left_anti").unionByName(last_of(new, key), allowMissingColumns=True)
 
 
 def delete(current: DataFrame, keys: DataFrame, key: str = "document_id") -> tuple[DataFrame, DataFrame]:
@@ -72,7 +77,7 @@ class VectorTable:
     def write(self, records: DataFrame, method: str, dim: int) -> None:
         """Replaces the method's index. Vectors of another length fail the write."""
         checked = records.withColumn("vector", F.when(F.size("vector") == dim, F.col("vector")).otherwise(F.raise_error(F.concat(F.lit("vector of length "), F.size("vector").cast("string")))))
-        checked.dropDuplicates(["chunk_id"]).withColumn("chunking_method", F.lit(method)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunking_method").parquet(self.path)
+        last_of(checked, "chunk_id").withColumn("chunking_method", F.lit(method)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunking_method").parquet(self.path)
 
     def read(self, method: str) -> DataFrame:
         return self.spark.read.parquet(self.path).filter(F.col("chunking_method") == method).drop("chunking_method")

@@ -122,3 +122,12 @@ def test_continuous_ingest(spark, tmp_path):
     drop("2.json", ("a", 1, "Short now."))
     assert run() == {"a:0000": "Short now.", "b:0000": "Text of b."}
     assert run() == {"a:0000": "Short now.", "b:0000": "Text of b."}  # nothing new
+
+
+def test_the_last_of_repeated_keys_stays(spark):
+    from codicil.sources import catalog
+
+    schema = "document_id string, title string"
+    old = spark.createDataFrame([("a", "old"), ("b", "kept")], schema)
+    new = spark.createDataFrame([("a", "first"), ("c", "one"), ("a", "second"), ("a", "third"), ("c", "two")], schema)
+    assert {tuple(r) for r in catalog.upsert(old, new, "document_id").collect()} == {("a", "third"), ("b", "kept"), ("c", "two")}
