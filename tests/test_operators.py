@@ -90,6 +90,25 @@ def test_knn_blocks_agree_with_the_join(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     none = rows.limit(0)
     assert knn.block_top_k(rows, q, 5, scope=none).count() == 0  # an empty scope finds nothing
+    assert knn.block_top_k(rows, q, 0).count() == 0
+
+
+def test_knn_in_cells_and_over_small_batches(spark, monkeypatch):
+    rng = random.Random(2)
+    v = [(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(4)]) for i in range(200)] + [(900, [1.0, None, 0.0, 0.0]), (901, None), (902, [])]
+    rows = spark.createDataFrame(v, "chunk_id int, vector array<double>")
+    q = spark.createDataFrame([(f"q{i:02d}", v[i][1]) for i in range(30)] + [("none", None)], "query_id string, vector array<double>")
+    want = sorted(map(tuple, bm25.top_k(knn.score(rows.filter("chunk_id < 900"), q), 7).select("query_id", "chunk_id", "score", "rank").collect()))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)  # the best are kept over batches, not by batch
+    try:
+        sent = knn.block_top_k(rows.coalesce(1), q, 7)
+        assert sorted(map(tuple, sent.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    monkeypatch.setattr(knn, "BLOCK", 8)
+    monkeypatch.setattr(knn, "CELL", 50)
+    assert sorted(map(tuple, knn.block_top_k(rows, q, 7, most_sent=0).collect())) == want
 
 
 def ranked(spark, rows):
