@@ -132,19 +132,20 @@ def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @CATALOG.add(
-    """SELECT doc_id::VARCHAR || ':' || lpad((i - 1)::VARCHAR, 4, '0') AS chunk_id, md5(trim(t, ' ' || chr(9) || chr(10) || chr(13))) AS text_md5 FROM
-(SELECT doc_id, unnest([left(text, k), substr(text, k + 1)]) AS t, unnest([1, 2]) AS i FROM (SELECT doc_id, text, strpos(text, chr(10)) AS k FROM documents WHERE text LIKE '%' || chr(10) || '%')
- WHERE regexp_matches(left(text, k), '[\\p{L}\\p{N}]') AND regexp_matches(substr(text, k + 1), '[\\p{L}\\p{N}]') AND strpos(left(text, k), left(substr(text, k + 1), 40)) = 0)"""
+    """WITH d AS (SELECT doc_id, text, strpos(text, chr(10)) AS k FROM documents),
+c AS (SELECT *, k > 0 AND regexp_matches(left(text, k), '[\\p{L}\\p{N}]') AND regexp_matches(substr(text, k + 1), '[\\p{L}\\p{N}]') AND strpos(left(text, k), left(substr(text, k + 1), 40)) = 0 AS cut FROM d),
+p AS (SELECT doc_id, unnest(CASE WHEN cut THEN [left(text, k), substr(text, k + 1)] ELSE [text] END) AS t, unnest(CASE WHEN cut THEN [1, 2] ELSE [1] END) AS i FROM c)
+SELECT doc_id::VARCHAR || ':' || lpad((i - 1)::VARCHAR, 4, '0') AS chunk_id, md5(trim(t, ' ' || chr(9) || chr(10) || chr(13))) AS text_md5 FROM p WHERE regexp_matches(t, '[\\p{L}\\p{N}]')"""
 )
 def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every document of several lines a cut is proposed before its second line; where the anchor would be met sooner, it is left out."""
+    """Of every document of several lines a cut is proposed before its second line, if that begins unlike the first; the others have no proposal and stay whole."""
     at = F.locate("\n", F.col("text"))
     rest = F.substring("text", at + 1, F.length("text"))
     head = F.substring("text", F.lit(1), at)
-    docs = table(spark, sf_dir, "documents").filter((at > 0) & head.rlike(r"[\p{L}\p{N}]") & rest.rlike(r"[\p{L}\p{N}]") & (F.position(F.substring(rest, 1, 40), head) == 0))
-    anchors = docs.select(F.col("doc_id").cast("string").alias("document_id"), F.lit(0).alias("window_index"), F.array(F.substring(head, 1, 40), F.substring(rest, 1, 40)).alias("anchors"))
-    pages = docs.select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), "text")
-    return chunking.chunk(pages, "llm_semantic", anchors=anchors).select("chunk_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), "text")
+    cut = docs.filter((at > 0) & head.rlike(r"[\p{L}\p{N}]") & rest.rlike(r"[\p{L}\p{N}]") & (F.position(F.substring(rest, 1, 40), head) == 0))
+    anchors = cut.select("document_id", F.lit(0).alias("window_index"), F.array(F.substring(head, 1, 40), F.substring(rest, 1, 40)).alias("anchors"))
+    return chunking.chunk(docs, "llm_semantic", anchors=anchors).select("chunk_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @CATALOG.add(
@@ -326,13 +327,13 @@ def query_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source is a question; its six first documents, by id, are the results."""
+    """Each source is a question; its documents, by id, are the results."""
     from pyspark.sql import Window
 
     return table(spark, sf_dir, "documents").select(
         F.col("source").alias("question_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("rank"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"),
         F.concat(F.col("lang"), F.lit(".pdf")).alias("document_name"), F.lit(1).alias("page_number"), F.lit(None).cast("string").alias("section"), F.col("lang").alias("heading"), "text", F.lit(0.5).alias("score"),
-    ).filter("rank <= 6")
+    )
 
 
 PACKED = """r AS (SELECT source AS question_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, doc_id, lang, text FROM documents),
