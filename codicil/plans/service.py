@@ -54,14 +54,19 @@ class Service:
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def _latest(self, name: str) -> DataFrame | None:
-        """The newest version of a table, also if it has no rows; null where there is none."""
+    def _version(self, name: str) -> str | None:
+        """The folder of the newest version of a table; null where there is none."""
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(name))
         files = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not files.exists(at):
             return None
         versions = sorted(f.getPath().getName() for f in files.listStatus(at) if f.getPath().getName().startswith("version="))
-        return self.spark.read.parquet(f"{self._path(name)}/{versions[-1]}") if versions else None
+        return versions[-1] if versions else None
+
+    def _latest(self, name: str) -> DataFrame | None:
+        """The newest version of a table, also if it has no rows; null where there is none."""
+        version = self._version(name)
+        return None if version is None else self.spark.read.parquet(f"{self._path(name)}/{version}")
 
     def _read(self, name: str, schema: str) -> DataFrame:
         found = self._latest(name)
@@ -75,6 +80,18 @@ class Service:
     def _chunks(self, method: str) -> DataFrame | None:
         return self._latest(f"chunks/{method}")
 
+    def _write_chunks(self, method: str, rows: DataFrame) -> None:
+        """A new version of the chunks, and its BM25 index under the same name."""
+        self._write(f"chunks/{method}", rows)
+        bm25.build(self._chunks(method), unique=True).save(self._path(f"bm25/{method}/{self._version(f'chunks/{method}')}"))
+
+    def _index(self, method: str) -> bm25.Index | bm25.SavedIndex:
+        """The saved index of the newest chunks; where its writing was cut short, one made on the way."""
+        try:
+            return bm25.load(self.spark, self._path(f"bm25/{method}/{self._version(f'chunks/{method}')}"))
+        except AnalysisException:
+            return bm25.build(self._chunks(method), unique=True)
+
     # ---- calls
 
     def health(self) -> dict:
@@ -91,7 +108,7 @@ class Service:
             pages, bad = documents.parse_pages(checked.filter("error IS NULL").dropDuplicates(["document_id"]), self.parser)
             new = chunk(pages.persist(), method or self.method).withColumn("vector", self.embed(F.col("text")))
             current = self._chunks(method or self.method)
-            self._write(f"chunks/{method or self.method}", new if current is None else catalog.replace_document(current, new))
+            self._write_chunks(method or self.method, new if current is None else catalog.replace_document(current, new))
             done = pages.select("document_id").distinct()
             entries = checked.join(done, "document_id", "left_semi").select("document_id", "filename", "category", "file_size", F.current_timestamp().alias("uploaded"))
             self._write("catalog", catalog.upsert(self._read("catalog", CATALOG), entries, "document_id"))
@@ -108,7 +125,7 @@ class Service:
                 if (chunks := self._chunks(method)) is not None:
                     left, counts = catalog.delete(chunks, gone)
                     n += counts.first()["deleted"]
-                    self._write(f"chunks/{method}", left)
+                    self._write_chunks(method, left)
             self._write("catalog", catalog.delete(self._read("catalog", CATALOG), gone)[0])
             return n
 
@@ -122,10 +139,11 @@ class Service:
         return [r.asDict() for r in catalog.case_list(self._read("cases", CASES), self._read("links", LINKS)).orderBy("created_at").collect()]
 
     def case(self, case_id: str) -> dict:
-        found = [c for c in self.cases() if c["case_id"] == case_id]
-        if not found:
+        one = F.col("case_id") == case_id
+        found = catalog.case_list(self._read("cases", CASES).filter(one), self._read("links", LINKS).filter(one)).first()
+        if found is None:
             raise NotFound(case_id)
-        return found[0]
+        return found.asDict()
 
     def add_to_case(self, case_id: str, document_id: str) -> dict:
         self.case(case_id)
@@ -143,7 +161,7 @@ class Service:
 
     def _found(self, chunks: DataFrame, asked: DataFrame, k: int, scope: DataFrame | None = None) -> DataFrame:
         """Gated hybrid results with the chunks' columns."""
-        hits = bm25.search(bm25.build(chunks, unique=True), asked, 2 * k, scope=scope)
+        hits = bm25.search(self._index(self.method), asked, 2 * k, scope=scope)
         near = knn.block_top_k(chunks.select("chunk_id", "vector"), asked.withColumn("vector", self.embed(F.col("query"))), 2 * k, scope=scope, least=0.3)
         return fusion.gate(fusion.fuse(near, hits, k), self.threshold).join(chunks.drop("vector"), "chunk_id")
 
@@ -157,10 +175,13 @@ class Service:
             return none
         scope = None
         if case_id is not None:
-            docs = self.case(case_id)["document_ids"]
-            if not docs:
+            of_case = F.col("case_id") == case_id
+            if self._read("cases", CASES).filter(of_case).isEmpty():
+                raise NotFound(case_id)
+            docs = self._read("links", LINKS).filter(of_case)
+            if docs.isEmpty():
                 return none | {"reason": "empty_case"}
-            scope = chunks.filter(F.col("document_id").isin(docs)).select("chunk_id")
+            scope = chunks.join(docs, "document_id", "left_semi").select("chunk_id")
         asked = self.spark.createDataFrame([("q", question)], "query_id string, query string")
         packed = generation.pack(self._found(chunks, asked, k, scope).withColumn("question_id", F.col("query_id"))).persist()
         trace = [r.asDict() for r in generation.trace(packed).orderBy("rank").collect()]

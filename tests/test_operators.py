@@ -80,6 +80,23 @@ def test_repeated_query_tokens_count(spark):
     assert s[2] == pytest.approx(2 * s[1], abs=2e-6)
 
 
+def test_a_saved_index_finds_the_same(spark, tmp_path):
+    rng = random.Random(3)
+    words = ["red", "blue", "green", "a1", "b-2", "of", "the"]
+    rows = chunks(spark, [(f"c{i}", " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(60)] + [("null", None)])
+    q = spark.createDataFrame([(1, "red the"), (2, "b-2 of of"), (3, "absent"), (4, "")], "query_id int, query string")
+    built = bm25.build(rows, unique=True)
+    built.save(str(tmp_path / "ix"), parts=4)
+    saved = bm25.load(spark, str(tmp_path / "ix"))
+    scope = rows.filter("chunk_id > 'c3'")
+    for kept in (None, scope):
+        want = sorted(map(tuple, bm25.search(built, q, 7, scope=kept).collect()))
+        assert want and sorted(map(tuple, bm25.search(saved, q, 7, scope=kept).collect())) == want
+    assert bm25.index_stats(saved).first() == bm25.index_stats(built).first()
+    bm25.build(rows.limit(0)).save(str(tmp_path / "none"))
+    assert bm25.search(bm25.load(spark, str(tmp_path / "none")), q, 7).count() == 0
+
+
 def test_knn_blocks_agree_with_the_join(spark):
     rng = random.Random(1)
     v = [(f"c{i:03d}", [rng.choice([-1.0, 0.0, 1.0]) for _ in range(4)]) for i in range(80)] + [("odd", [1.0]), ("zero", [0.0] * 4)]
