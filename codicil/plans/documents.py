@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from codicil.functions.sections import parsed
 from codicil.functions.text import category
 from codicil.operators import chunking, extraction, generation, queries, structure
-from codicil.registry import Catalog, table
+from codicil.registry import Catalog, spread, table
 from codicil.sources import catalog, documents
 
 CATALOG = Catalog()
@@ -117,7 +117,7 @@ def chunk_legal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.text_pages(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text")
+    return documents.text_pages(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), id_col="doc_id", text_col="text")
 
 
 @CATALOG.add()

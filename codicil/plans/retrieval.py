@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codicil.functions.text import normalized
 from codicil.operators import bm25, fusion, knn, rerank
-from codicil.registry import Catalog, table
+from codicil.registry import Catalog, spread, table
 
 CATALOG = Catalog()
 K = 10
@@ -63,7 +63,7 @@ SELECT {columns} FROM f"""
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
