@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codicil.functions.text import normalized
-from codicil.operators import bm25, fusion, knn, rerank
+from codicil.operators import bm25, fusion, knn, rerank, retrieve
 from codicil.registry import Catalog, spread, table
 
 CATALOG = Catalog()
@@ -195,6 +195,31 @@ def legacy_relevance_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.by_relevance(full).select("query_id", "chunk_id", "score", "terms_met", F.col("rank").cast("int").alias("rank"))
 
 
+def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the vector of their number; one source plays the front matter, the language is the category."""
+    rows = chunks(spark, sf_dir).join(vectors(spark, sf_dir).drop("label"), "chunk_id")
+    return rows.select("chunk_id", "text", "vector", F.col("lang").alias("category"), F.when(F.col("source") == "src0", F.lit("FRONTMATTER:PREAMBLE")).alias("section"))
+
+
+def embedded_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return question_vectors(spark, sf_dir).join(questions(spark, sf_dir), "query_id")
+
+
+@CATALOG.add(
+    f"""WITH dn AS (SELECT b.item_id AS query_id, v.vec_id AS chunk_id, lower(b.text) AS q, lower(d.text) AS t, d.lang, d.source = 'src0' AS front, {cosine_sql('v.embedding', 'q.embedding')} AS score
+ FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id CROSS JOIN embeddings v JOIN documents d ON d.doc_id = v.vec_id WHERE regexp_matches(b.text, '\\S')),
+o AS (SELECT *, {RANK} AS pos FROM dn), x AS (SELECT * FROM o WHERE pos <= {4 * K} AND score >= 0.1 AND lang IN ('en', 'fr')),
+y AS (SELECT *, len(list_filter(list_distinct({WORDS_SQL.format('q')}), lambda w: length(w) > 3 AND contains(t, w))) AS m,
+ (contains(q, 'purpose') OR contains(q, 'intent') OR contains(q, 'object') OR contains(q, 'aim') OR contains(q, 'goal') OR contains(q, 'why')) AS purpose FROM x),
+z AS (SELECT query_id, chunk_id, score, m::INT AS terms_met, (row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN purpose AND front THEN 0 ELSE 1 END, score DESC, m DESC,
+ CASE WHEN front THEN 0 ELSE 1 END, pos))::INT AS rank FROM y) SELECT * FROM z WHERE rank <= {K}"""
+)
+def dense_retriever(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetch, filter by category, threshold and relevance order in one."""
+    found = retrieve.dense(embedded_chunks(spark, sf_dir), embedded_questions(spark, sf_dir), retrieve.Request(K, categories=("en", "fr")), least=0.1)
+    return found.withColumn("rank", F.col("rank").cast("int"))
+
+
 # ---- fusion
 
 
@@ -263,7 +288,7 @@ def rerank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retriever(method: str, spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     """(query_id, chunk_id, score, rank) of the questions by one of the named methods."""
     if method == "dense":
-        return knn.block_top_k(vectors(spark, sf_dir), question_vectors(spark, sf_dir), k, least=GATE)
+        return retrieve.dense(embedded_chunks(spark, sf_dir), embedded_questions(spark, sf_dir), retrieve.Request(k), least=GATE).drop("terms_met")
     if method == "bm25":
         return bm25.search(bm25.build(chunks(spark, sf_dir), unique=True), questions(spark, sf_dir), k)
     if method == "hybrid":

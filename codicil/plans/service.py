@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codicil.operators import bm25, evaluation, fusion, generation, knn
+from codicil.operators import bm25, evaluation, fusion, generation, knn, retrieve
 from codicil.operators.chunking import METHODS, chunk
 from codicil.sources import catalog, documents, embedding
 
@@ -161,14 +161,18 @@ class Service:
 
     def _found(self, chunks: DataFrame, asked: DataFrame, k: int, scope: DataFrame | None = None) -> DataFrame:
         """Gated hybrid results with the chunks' columns."""
+        asked = retrieve.answerable(asked)
         hits = bm25.search(self._index(self.method), asked, 2 * k, scope=scope)
         near = knn.block_top_k(chunks.select("chunk_id", "vector"), asked.withColumn("vector", self.embed(F.col("query"))), 2 * k, scope=scope, least=0.3)
         return fusion.gate(fusion.fuse(near, hits, k), self.threshold).join(chunks.drop("vector"), "chunk_id")
 
-    def query(self, question: str, k: int = 8, case_id: str | None = None) -> dict:
-        """Sources, and an answer with its citations if a model is configured; refused where nothing is found."""
-        if not question or not question.strip():
-            raise ValueError("question must not be blank")
+    def query(self, question: str, k: int = 8, case_id: str | None = None, filters: dict | None = None) -> dict:
+        """Sources, and an answer with its citations if a model is configured; refused where nothing is found.
+
+        filters: document_ids, of which an empty list finds nothing; other keys are refused.
+        """
+        retrieve.checked(question)
+        ids = retrieve.document_filter(filters)
         none = {"refused": True, "answer": generation.REFUSAL, "citations": [], "trace": []}
         chunks = self._chunks(self.method)
         if chunks is None:
@@ -182,6 +186,10 @@ class Service:
             if docs.isEmpty():
                 return none | {"reason": "empty_case"}
             scope = chunks.join(docs, "document_id", "left_semi").select("chunk_id")
+        if ids is not None:
+            wanted = self.spark.createDataFrame([(i,) for i in ids], "document_id string")
+            named = chunks.join(wanted, "document_id", "left_semi").select("chunk_id")
+            scope = named if scope is None else scope.join(named, "chunk_id", "left_semi")
         asked = self.spark.createDataFrame([("q", question)], "query_id string, query string")
         packed = generation.pack(self._found(chunks, asked, k, scope).withColumn("question_id", F.col("query_id"))).persist()
         trace = [r.asDict() for r in generation.trace(packed).orderBy("rank").collect()]
@@ -243,7 +251,7 @@ def routed(service: Service, verb: str, path: str, body: dict) -> tuple[int, obj
             case ("DELETE", "documents", doc):
                 return 200, {"deleted": service.delete_document(doc)}
             case ("POST", "query"):
-                return 200, service.query(body.get("question", ""), int(body.get("top_k", 8)), body.get("case_id"))
+                return 200, service.query(body.get("question", ""), int(body.get("top_k", 8)), body.get("case_id"), body.get("filters"))
             case ("POST", "ingest"):
                 done = service.ingest([(f["filename"], bytes.fromhex(f["content_hex"])) for f in body["files"]], body.get("category"))
                 return (400 if all(r["error"] for r in done) else 200), done
@@ -266,7 +274,7 @@ def routed(service: Service, verb: str, path: str, body: dict) -> tuple[int, obj
         return 404, {"error": "no such route"}
     except NotFound as e:
         return 404, {"error": f"{e} is unknown"}
-    except (ValueError, KeyError) as e:
+    except (ValueError, KeyError, NotImplementedError) as e:
         return 400, {"error": str(e)}
     except RuntimeError as e:
         return 502, {"error": str(e)}

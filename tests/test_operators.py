@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from codicil.functions import sections, similarity
 from codicil.functions import text as t
-from codicil.operators import bm25, chunking, evaluation, extraction, fusion, generation, knn, queries, rerank, structure
+from codicil.operators import bm25, chunking, evaluation, extraction, fusion, generation, knn, queries, rerank, retrieve, structure
+from codicil.settings import Settings
 
 
 def one(spark, expr, **cols):
@@ -164,6 +165,38 @@ def test_overfetch_can_leave_fewer(spark):
     assert [(r["chunk_id"], r["rank"]) for r in out.collect()] == [("c3", 1)]
 
 
+def test_requests_are_checked(spark):
+    for blank in (None, "", " \t\n"):
+        with pytest.raises(retrieve.BlankQuery):
+            retrieve.checked(blank)
+    assert retrieve.checked("rent") == "rent"
+    with pytest.raises(NotImplementedError):
+        retrieve.Request(date_range=(1, 2))
+    with pytest.raises(NotImplementedError, match="author, year"):
+        retrieve.document_filter({"year": 1, "document_ids": [], "author": 2})
+    assert retrieve.document_filter(None) is None and retrieve.document_filter({"document_ids": []}) == []
+    batch = spark.createDataFrame([(1, "a"), (2, " "), (3, None)], "query_id int, query string")
+    assert [r["query_id"] for r in retrieve.answerable(batch).collect()] == [1]
+
+
+def test_dense_retriever_filters_after_the_fetch(spark):
+    rows = spark.createDataFrame([(f"c{i}", f"d{i % 2}", "x" if i < 8 else "y", "the rent", None, [1.0, float(i)]) for i in range(12)], "chunk_id string, document_id string, category string, text string, section string, vector array<double>")
+    q = spark.createDataFrame([(1, "rent", [1.0, 0.0]), (2, "", [1.0, 0.0])], "query_id int, query string, vector array<double>")
+    run = lambda **kw: [r["chunk_id"] for r in retrieve.dense(rows, q, retrieve.Request(2, **kw), least=0.1).orderBy("rank").collect()]
+    assert run() == ["c0", "c1"]
+    assert run(document_ids=("d1",)) == ["c1", "c3"]
+    assert run(categories=("y",)) == []  # beyond the eight that are fetched
+    assert [r["chunk_id"] for r in retrieve.dense(rows, q, retrieve.Request(5), least=0.6).collect()] == ["c0", "c1"]
+
+
+def test_settings():
+    assert Settings.from_env({}) == Settings()
+    told = Settings.from_env({"SIMILARITY_THRESHOLD": "0.5", "RECURSIVE_CHUNK_SIZE": "900", "DEEPSEEK_API_KEY": " key "})
+    assert (told.similarity_threshold, told.chunk_size, told.api_key) == (0.5, 900, "key") and "key " not in repr(told)
+    with pytest.raises(ValueError, match="LLM_CHUNKER_WINDOW_PAGES"):
+        Settings.from_env({"LLM_CHUNKER_WINDOW_PAGES": "three"})
+
+
 def test_metrics(spark):
     q = spark.createDataFrame([(1,), (2,)], "query_id int")
     got = spark.createDataFrame([(1, c, i) for i, c in enumerate("1xx5x", 1)] + [(2, "z", 1)], "query_id int, chunk_id string, rank int")

@@ -32,6 +32,11 @@ def test_documents_and_query(service):
     status, out = routed(service, "POST", "/query", {"question": "When is the rent due?"})
     assert status == 200 and out["trace"][0]["snippet"].startswith("The rent") and len(out["citations"]) == 1
     assert routed(service, "POST", "/query", {"question": " "})[0] == 400
+    for ids, found in (([docs["note.pdf"]], False), ([docs["lease.pdf"]], True), ([], False)):
+        out = routed(service, "POST", "/query", {"question": "When is the rent due?", "filters": {"document_ids": ids}})[1]
+        assert any(t["snippet"].startswith("The rent") for t in out["trace"]) == found
+    status, out = routed(service, "POST", "/query", {"question": "rent", "filters": {"author": "x"}})
+    assert status == 400 and "author" in out["error"]
 
 
 def test_cases_scope_the_search(service):
