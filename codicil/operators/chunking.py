@@ -139,15 +139,22 @@ def fold_text(text: str) -> tuple[str, list[int]]:
     return "".join(out), at
 
 
-def anchored_pieces(text: str, anchors: list[str]) -> tuple[list[str], int]:
-    """The text cut where the anchors are found, each after the one before; and how many were not found."""
+def anchored_pieces(text: str, anchors: list[str], lines: bool = False) -> tuple[list[str], int]:
+    """The text cut where the anchors are found, each after the one before; and how many were not found.
+
+    lines: an anchor counts as found only where a line begins, white space before it aside.
+    """
     folded, at = fold_text(text)
+    begins = [bisect_left(at, m.end()) for m in re.finditer(r"(?:\A|\n)\s*", text)] if lines else []
     cuts: list[int] = []
     skipped = 0
     for anchor in anchors:
         wanted = fold_text(anchor)[0].strip()
         begin = bisect_left(at, cuts[-1] + 1) if cuts else 0
-        found = folded.find(wanted, begin) if wanted else -1
+        if lines:
+            found = next((i for i in begins[bisect_left(begins, begin) :] if folded.startswith(wanted, i)), -1) if wanted else -1
+        else:
+            found = folded.find(wanted, begin) if wanted else -1
         if found < 0 or (cuts and at[found] <= cuts[-1]):
             skipped += 1
         else:
@@ -221,12 +228,13 @@ def chunk_recursive(pages: DataFrame, *, size: int = 1200, overlap: int = 150) -
     return _plain_chunks(_numbered(pieces, ["_at"]))
 
 
-def chunk_semantic(pages: DataFrame, anchors: DataFrame, *, window: int = 3, budget: float = 0.05) -> tuple[DataFrame, DataFrame]:
+def chunk_semantic(pages: DataFrame, anchors: DataFrame, *, window: int = 3, budget: float = 0.05, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """Chunks at proposed anchors, and the documents that are turned away.
 
     anchors (document_id, window_index, anchors array<string>): for each window of pages the beginnings of
     its chunks; a window without a row is one chunk. A document of whose anchors more than ``budget`` can't
-    be found in order is turned away whole: it has a row in the second result and no chunks.
+    be found in order is turned away whole: it has a row in the second result and no chunks. With ``lines``
+    anchors are looked for only where lines begin.
     """
     ordered = Window.partitionBy("document_id").orderBy("page_number")
     windows = (
@@ -249,7 +257,7 @@ def chunk_semantic(pages: DataFrame, anchors: DataFrame, *, window: int = 3, bud
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [anchored_pieces(t, a) for t, a in zip(batch.column("_text").to_pylist(), batch.column("_anchors").to_pylist())]
+            found = [anchored_pieces(t, a, lines) for t, a in zip(batch.column("_text").to_pylist(), batch.column("_anchors").to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([p for p, _ in found], pa.list_(pa.string())), pa.array([s for _, s in found], pa.int32())], [*names, "_pieces", "_skipped"])
 
     cut = windows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema) + ", _pieces array<string>, _skipped int")

@@ -138,14 +138,18 @@ p AS (SELECT doc_id, unnest(CASE WHEN cut THEN [left(text, k), substr(text, k +
 SELECT doc_id::VARCHAR || ':' || lpad((i - 1)::VARCHAR, 4, '0') AS chunk_id, md5(trim(t, ' ' || chr(9) || chr(10) || chr(13))) AS text_md5 FROM p WHERE regexp_matches(t, '[\\p{L}\\p{N}]')"""
 )
 def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every document of several lines a cut is proposed before its second line, if that begins unlike the first; the others have no proposal and stay whole."""
+    """Of every document of several lines a cut is proposed before its second line, if its beginning is not in the first; the others have no proposal and stay whole.
+
+    Anchors count only where lines begin: in any case, spacing or overlap of the two lines the second one is met at its own beginning.
+    """
     at = F.locate("\n", F.col("text"))
     rest = F.substring("text", at + 1, F.length("text"))
     head = F.substring("text", F.lit(1), at)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), "text")
     cut = docs.filter((at > 0) & head.rlike(r"[\p{L}\p{N}]") & rest.rlike(r"[\p{L}\p{N}]") & (F.position(F.substring(rest, 1, 40), head) == 0))
-    anchors = cut.select("document_id", F.lit(0).alias("window_index"), F.array(F.substring(head, 1, 40), F.substring(rest, 1, 40)).alias("anchors"))
-    return chunking.chunk(docs, "llm_semantic", anchors=anchors).select("chunk_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    anchor = lambda line: F.substring(F.regexp_replace(line, r"(?U)^[\s\x1C-\x1F]+", ""), 1, 40)
+    anchors = cut.select("document_id", F.lit(0).alias("window_index"), F.array(anchor(head), anchor(rest)).alias("anchors"))
+    return chunking.chunk(docs, "llm_semantic", anchors=anchors, lines=True).select("chunk_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @CATALOG.add(

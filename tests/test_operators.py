@@ -299,6 +299,24 @@ def test_anchors():
     assert chunking.anchored_pieces(text, ["Second", "First"]) == (["First part  here.\n", "Second “part” follows."], 1)
 
 
+def test_anchors_at_lines():
+    text = "It is a rent.\nRent. Rent. Rent.\n\n  a rent."
+    assert chunking.anchored_pieces(text, ["It is", "Rent. Rent.", "A rent"], True) == (["It is a rent.\n", "Rent. Rent. Rent.\n\n  ", "a rent."], 0)
+    assert chunking.anchored_pieces(text, ["It is", "is a"], True) == ([text], 1)
+
+
+def test_semantic_query_gives_its_sql(spark, tmp_path):
+    import oracle
+
+    from codicil.plans.documents import CATALOG
+
+    rng = random.Random(7)
+    texts = ["It is a rent.\nRent. Rent. Rent.", "Hello World\nhello world", "ab\nA", "x “y” z\n\"Y\" z", "One\n" + "\n" * 60 + "Two", " " * 50 + "One\nTwo", "a b\nb" + " " * 60 + "c", "one line", "", None, "\n\n", "a\n--"]
+    texts += ["".join(rng.choices(["a", "A", "ab ", " ", "\n", ".", "B", "é", "-"], k=rng.randint(1, 30))) for _ in range(400)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert oracle.differences(CATALOG.queries["chunk_semantic"](spark, str(tmp_path)), oracle.connect(str(tmp_path)), CATALOG.sql["chunk_semantic"]) == []
+
+
 def test_semantic_budget(spark):
     p = pages(spark, *[f"Page {i} begins here." for i in range(7)])
     good = spark.createDataFrame([("d", 0, ["Page 0 begins", "Page 1 begins"])], "document_id string, window_index int, anchors array<string>")
