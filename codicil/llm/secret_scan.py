@@ -4,10 +4,11 @@ A candidate is what base findings leave of a run of token characters, of six or
 shortest value). The network reads it in overlapping windows, from its start and from each part after a
 separator, with their surrounding context, and its score is the greatest of these. It reads character
 classes: embedding, one convolution, maximum over positions, logistic output, all in numpy. It is trained on
-labelled findings: spans that the patterns found in the corpus and generated secrets, against candidates of
-the corpus that no pattern finds, of every shape, and generated harmless tokens (all of it bounded samples).
-Its score is calibrated by Platt scaling and cut, for each shape of a window, at the highest threshold that
-keeps the wanted recall on held-out findings. What the patterns find always stays.
+labelled findings: all spans that the patterns found in the corpus and generated secrets, against a candidate
+of every kind that the corpus has and generated harmless tokens. Then a pass over the whole corpus sums the
+derivatives of the loss over all candidates that no pattern finds, and a damped Newton step fits the output
+layer to them. The score is calibrated by Platt scaling and cut, for each shape of a window, at the highest threshold
+that keeps the wanted recall on all held-out findings. What the patterns find always stays.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import re
 import string
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Carried, lowest_hashes, materialise, small_batches
+from .common import Carried, materialise, small_batches
 from .vectext import buffers, slices
 
 # Fixed values of the contract: kinds in order, and the pattern of assignments.
@@ -35,6 +35,8 @@ KEYWORDS = (b"passw", b"secret", b"token", b"api")
 BEFORE, WITHIN, AFTER = 20, 32, 6
 #: Windows of a long part begin every STRIDE characters.
 STRIDE = 16
+#: Characters of text whose convolutions are held at a time.
+BLOCK = 8192
 #: Characters of the shortest candidate.
 SHORTEST = 6
 WIDTH = BEFORE + WITHIN + AFTER
@@ -48,6 +50,8 @@ _LETTER = np.zeros(256, bool)
 _LETTER[list(string.ascii_letters.encode())] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[list(string.digits.encode())] = True
+_LOWER = np.zeros(256, bool)
+_LOWER[list(string.ascii_lowercase.encode())] = True
 
 
 def runs(mask: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,18 +140,64 @@ def scan(texts: pa.Array) -> Iterator[tuple[list[tuple[int, int, int]], list[tup
         yield base, [x for run in spans[1] for x in left_over(run, base)] if base else spans[1], text
 
 
+def laid(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts in codes of one byte with zeros between them, so that no window reads two texts; and where each begins."""
+    wide = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    gaps = BEFORE * np.arange(1, len(texts) + 1)
+    codes = np.zeros(len(wide) + BEFORE * len(texts) + WIDTH, np.uint8)
+    codes[np.arange(len(wide)) + np.repeat(gaps, sizes)] = np.where(wide < 128, wide, 1)
+    return codes, np.cumsum(sizes) - sizes + gaps
+
+
+def candidates(rows: list[tuple[list, list[tuple[int, int]], str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts laid out, the spans of all their candidates there, and the row of each."""
+    codes, first = laid([t for _, _, t in rows])
+    of = np.repeat(np.arange(len(rows)), [len(more) for _, more, _ in rows])
+    return codes, np.array([s for _, more, _ in rows for s in more], np.int64).reshape(-1, 2) + first[of][:, None], of
+
+
+def some_in(kind: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether a character of the kind is in each span."""
+    n = np.concatenate([[0], np.cumsum(kind[codes], dtype=np.int32)])
+    return n[ends] > n[starts]
+
+
+def shapes_in(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The same as shape_of() for spans in codes."""
+    letter, digit, mark = (some_in(x, codes, starts, ends) for x in (_LETTER, _DIGIT, _SEPARATOR.astype(bool)))
+    return np.where(mark, 2, letter & digit)
+
+
+def kinds_of(codes: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """A number for what a candidate is like: its window's shape, upper case and length, its first and last character."""
+    a, b = spans[:, 0], np.minimum(spans[:, 1], spans[:, 0] + WITHIN)
+    upper = some_in(_LETTER, codes, a, spans[:, 1]) & ~some_in(_LOWER, codes, a, spans[:, 1])
+    return (((shapes_in(codes, a, b) * 2 + upper) * (WITHIN + 1) + b - a) * 128 + codes[a]) * 128 + codes[spans[:, 1] - 1]
+
+
 def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_doc, _text) -> (_doc, _base, _bwin): base spans as flat (start, kind, end), and the window of each."""
+    """(_doc, _text) -> (_kind, _doc, _window): base findings (kind null), and of each kind of other candidates the one of the task's smallest document."""
+    kept: dict[int, tuple] = {}
+    names = ["_kind", "_doc", "_window"]
     for batch in (x for y in batches for x in slices(y, "_text")):
-        rows = list(scan(batch.column("_text")))
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("_doc"),
-                pa.array([[v for s in base for v in s] for base, _, _ in rows], pa.list_(pa.int64())),
-                pa.array([[window(t, a, b) for a, _, b in base] for base, _, t in rows], pa.list_(pa.binary())),
-            ],
-            ["_doc", "_base", "_bwin"],
-        )
+        docs, rows = batch.column("_doc").to_pylist(), list(scan(batch.column("_text")))
+        base = [(d, window(t, a, b)) for d, (own, _, t) in zip(docs, rows) for a, _, b in own]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(base), pa.int64()), pa.array([d for d, _ in base], pa.int64()), pa.array([w for _, w in base], pa.binary())], names)
+        codes, spans, of = candidates(rows)
+        if not len(spans):
+            continue
+        rank = np.argsort(np.argsort([(1 << 63) - 1 if d is None else d for d in docs], kind="stable"), kind="stable")
+        order = np.argsort(rank[of], kind="stable")
+        kinds, first = np.unique(kinds_of(codes, spans)[order], return_index=True)
+        at = spans[order[first]]
+        read = windows_of(codes, (np.zeros(len(at), np.int64), np.full(len(at), len(codes))), at[:, 0], at[:, 1])
+        for kind, i, own in zip(kinds.tolist(), of[order[first]].tolist(), read):
+            new = (docs[i] is None, docs[i] or 0, own.tobytes())
+            kept[kind] = min(kept.get(kind, new), new)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(kept), pa.int64()), pa.array([None if none else d for none, d, _ in kept.values()], pa.int64()), pa.array([w for _, _, w in kept.values()], pa.binary())], names
+    )
 
 
 def shape_of(windows: np.ndarray) -> np.ndarray:
@@ -157,20 +207,6 @@ def shape_of(windows: np.ndarray) -> np.ndarray:
     return np.where(mark, 2, letter & digit)
 
 
-def harmless(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_doc, _text) -> (_doc, _window): of each text one candidate that no pattern finds for each shape, of those in upper case and of those without."""
-    for batch in (x for y in batches for x in slices(y, "_text")):
-        docs, out = batch.column("_doc").to_pylist(), []
-        for doc, (_, more, text) in zip(docs, scan(batch.column("_text"))):
-            best: dict[tuple, tuple] = {}
-            for a, b in more:
-                own, upper = window(text, a, b), text[a:b].isupper()
-                kind = (int(shape_of(np.frombuffer(own, np.uint8)[None])[0]), upper)
-                best[kind] = min(best.get(kind, (1 << 32, b"")), (zlib.crc32(own), own))
-            out += [(doc, own) for _, own in sorted(best.values())]
-        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([w for _, w in out], pa.binary())], ["_doc", "_window"])
-
-
 # ---- the network
 
 
@@ -208,6 +244,11 @@ class CharNet:
         }
         self.platt = (1.0, 0.0)
         self.thresholds = np.full(3, 0.5)
+        self.examples: tuple = ([], np.zeros(0), np.zeros(0, bool), np.zeros(0))
+
+    def __getstate__(self) -> dict:
+        """Tasks get the network without what it was trained on."""
+        return {k: v for k, v in self.__dict__.items() if k != "examples"}
 
     def _forward(self, x: np.ndarray) -> tuple:
         e = self.p["emb"][x]
@@ -227,14 +268,96 @@ class CharNet:
 
     def _score(self, x: np.ndarray) -> np.ndarray:
         """The logits of _forward, in single precision and without what only training needs."""
+        return (self._pooled(x) @ self.p["out"].astype(np.float32) + np.float32(self.p["off"][0])).astype(float)
+
+    def _pooled(self, x: np.ndarray) -> np.ndarray:
+        """What the output layer reads."""
         p = {k: v.astype(np.float32) for k, v in self.p.items()}
         e = p["emb"][x].reshape(len(x), -1)
         d = p["emb"].shape[1]
         cols = np.lib.stride_tricks.sliding_window_view(e, 5 * d, axis=1)[:, ::d].reshape(-1, 5 * d)
         a = (cols @ p["conv"]).reshape(len(x), WIDTH - 4, -1)
         split = BEFORE - 2
-        pooled = np.maximum(np.concatenate([a[:, :split].max(axis=1), a[:, split:].max(axis=1)], axis=1) + np.tile(p["bias"], 2), 0)
-        return (pooled @ p["out"] + p["off"][0]).astype(float)
+        return np.maximum(np.concatenate([a[:, :split].max(axis=1), a[:, split:].max(axis=1)], axis=1) + np.tile(p["bias"], 2), 0)
+
+    def pooled_in(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(numbers of windows, what the output layer reads of them), for windows of texts laid out, whose starts ascend.
+
+        The convolutions inside texts are computed once for all windows over them, with maxima over 1, 2, 4, 8 and 16
+        places, of which two cover any range; only those that reach beyond a window's candidate are its own.
+        """
+        p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        d, f = p["emb"].shape[1], len(p["bias"])
+        emb = p["emb"][self.classes]
+        shares = np.concatenate([emb @ p["conv"][j * d : (j + 1) * d] for j in range(5)], axis=1)
+        pads = shares[0].reshape(5, f).sum(axis=0)
+        n = ends - starts
+        # Very short candidates have no convolution of their own, very long ones no place of pads alone.
+        other = np.flatnonzero((n < 3) | (n > WITHIN - 5))
+        for i in range(0, len(other), 512):
+            at = other[i : i + 512]
+            raw = windows_of(codes, (np.zeros(len(at), np.int64), np.full(len(at), len(codes))), starts[at], ends[at])
+            yield at, self._pooled(self.classes[raw])
+        usual = np.flatnonzero((n >= 3) & (n <= WITHIN - 5))
+        for at in np.split(usual, np.flatnonzero(np.diff(starts[usual] // BLOCK)) + 1):
+            if not len(at):
+                continue
+            lo = starts[at[0]] - BEFORE
+            part = codes[lo : starts[at[-1]] + WITHIN + AFTER]
+            y, m = shares[part], len(part) - 4
+            most = np.empty((5, m, f), np.float32)
+            np.add(y[:m, :f], y[1 : m + 1, f : 2 * f], out=most[0])
+            for j in range(2, 5):
+                most[0] += y[j : m + j, j * f : (j + 1) * f]
+            for k in range(1, 5):
+                w = m - (1 << k) + 1
+                np.maximum(most[k - 1, :w], most[k - 1, 1 << (k - 1) : w + (1 << (k - 1))], out=most[k, :w])
+            flat, s, e = most.reshape(-1, f), starts[at] - lo, ends[at] - lo
+            k = np.log2(e - s - 2).astype(np.int64)
+            context = np.maximum(most[4].take(s - BEFORE, axis=0), most[4].take(s - BEFORE + 2, axis=0))
+            own = np.maximum(flat.take(k * m + s - 2, axis=0), flat.take(k * m + e - 4 - (1 << k), axis=0))
+            for x in (most[0].take(e, axis=0), most[0].take(e + 1, axis=0), pads):
+                np.maximum(own, x, out=own)
+            for reach, columns in ((np.arange(-4, 0), slice(0, 4)), (np.arange(4), slice(4, 8))):
+                edge = np.zeros((len(at), 8), np.uint8)
+                edge[:, columns] = part[e[:, None] + reach]
+                x = emb[edge].reshape(len(at), -1)
+                for j in range(4):
+                    np.maximum(own, x[:, j * d : (j + 5) * d] @ p["conv"], out=own)
+            yield at, np.maximum(np.concatenate([context, own], axis=1) + np.tile(p["bias"], 2), 0)
+
+    def margins_in(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The same as margin() for windows of texts laid out."""
+        z, (a, b) = np.zeros(len(starts)), self.platt
+        for at, x in self.pooled_in(codes, starts, ends):
+            z[at] = x @ self.p["out"].astype(np.float32) + np.float32(self.p["off"][0])
+        return 1 / (1 + np.exp(-(a * z + b))) - self.thresholds[shapes_in(codes, starts, ends)]
+
+    def derivatives(self, x: np.ndarray, y: np.ndarray | None = None, weight: np.ndarray | None = None) -> np.ndarray:
+        """The count, gradient and second derivatives of the loss in the output layer, summed over what it reads.
+
+        Without labels they are candidates of the corpus: each is harmless by the chance that the network gives it,
+        and counts so much, as a few may be secrets.
+        """
+        x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
+        p = 1 / (1 + np.exp(-(x @ np.append(self.p["out"], self.p["off"]).astype(np.float32))))
+        y, weight = (0, 1 - p) if y is None else (y, weight)
+        g, h = x.T @ (weight * (p - y)), (x * np.asarray(weight * p * (1 - p), np.float32)[:, None]).T @ x
+        return np.concatenate([[len(x)], g, h.ravel()]).astype(float)
+
+    def refit(self, sums: np.ndarray, recall: float) -> None:
+        """A damped Newton step of the output layer over the examples and all candidates of the corpus, by their derivatives' sums; then calibrated again."""
+        windows, y, held, weight = self.examples
+        raw = np.frombuffer(b"".join(w for w, h in zip(windows, held) if not h), np.uint8).reshape(-1, WIDTH)
+        y, weight, k = y[~held], weight[~held], len(self.p["out"]) + 1
+        # All candidates together weigh as much as the harmless examples, or as many if they are fewer.
+        total = sums * min(1.0, (y == 0).sum() / max(sums[0], 1))
+        for i in range(0, len(raw), 512):
+            s = slice(i, i + 512)
+            total = total + self.derivatives(self._pooled(self.classes[raw[s]]), y[s], weight[s])
+        move = np.linalg.solve(total[k + 1 :].reshape(k, k) + 0.1 * len(y) * np.eye(k), total[1 : k + 1]).round(6)
+        self.p["out"], self.p["off"] = self.p["out"] - move[:-1], self.p["off"] - move[-1:]
+        self.calibrate([w for w, h in zip(windows, held) if h], self.examples[1][held], recall)
 
     def probability(self, windows: list[bytes] | np.ndarray) -> np.ndarray:
         a, b = self.platt
@@ -245,7 +368,7 @@ class CharNet:
         raw = windows if isinstance(windows, np.ndarray) else np.frombuffer(b"".join(windows), np.uint8).reshape(-1, WIDTH)
         return self.probability(raw) - self.thresholds[shape_of(raw)]
 
-    def fit(self, windows: list[bytes], y: np.ndarray, *, epochs: int = 6, batch: int = 128, rate: float = 0.01, seed: int = 3) -> None:
+    def fit(self, windows: list[bytes], y: np.ndarray, weight: np.ndarray | None = None, *, epochs: int = 6, batch: int = 128, rate: float = 0.01, seed: int = 3) -> None:
         x = self.classes[np.frombuffer(b"".join(windows), np.uint8).reshape(-1, WIDTH)]
         rng, moments, step = np.random.default_rng(seed), {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}, 0
         for _ in range(epochs):
@@ -254,7 +377,7 @@ class CharNet:
                 part = order[i : i + batch]
                 cols, top, pooled, z = self._forward(x[part])
                 n, f = len(part), self.p["conv"].shape[1]
-                dz = (1 / (1 + np.exp(-z)) - y[part]) / n
+                dz = (1 / (1 + np.exp(-z)) - y[part]) / n * (1 if weight is None else weight[part])
                 dp = dz[:, None] * self.p["out"] * (pooled > 0)
                 demb, dconv, dbias = np.zeros_like(self.p["emb"]), np.zeros_like(self.p["conv"]), np.zeros(f)
                 for half, at in enumerate(top):
@@ -331,12 +454,14 @@ def labelled_findings(seed: int, n: int) -> tuple[list[bytes], list[int]]:
 
 
 def train(corpus: list[bytes], plain: list[bytes] = [], *, seed: int = 5, generated: int = 6000, recall: float = 0.99) -> CharNet:  # noqa: B006
-    """corpus: windows of findings; plain: windows of candidates that are taken as harmless."""
+    """corpus: windows of findings; plain: windows of candidates that are taken as harmless. If findings are more, both classes weigh the same."""
     made, y = labelled_findings(seed, generated)
     windows, y = made + corpus + plain, np.array(y + [1] * len(corpus) + [0] * len(plain), float)
     held = np.random.default_rng(seed).random(len(y)) < 0.25
+    weight = np.where(y == 1, min(1.0, (y == 0).sum() / max((y == 1).sum(), 1)), 1.0)
     net = CharNet(seed)
-    net.fit([w for w, h in zip(windows, held) if not h], y[~held])
+    net.examples = (windows, y, held, weight)
+    net.fit([w for w, h in zip(windows, held) if not h], y[~held], weight[~held])
     net.calibrate([w for w, h in zip(windows, held) if h], y[held], recall)
     return net
 
@@ -347,23 +472,30 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 def greatest_margins(net: CharNet, rows: list[tuple[list, list[tuple[int, int]], str]]) -> np.ndarray:
     """The margin of each candidate of the texts, in order: the greatest of its windows."""
-    n = [len(more) for _, more, _ in rows]
-    if not sum(n):
-        return np.zeros(0)
-    wide = np.frombuffer("".join(t for _, _, t in rows).encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where(wide < 128, wide, 1).astype(np.uint8)
-    close = np.cumsum([len(t) for _, _, t in rows])
-    of, first = np.repeat(np.arange(len(rows)), n), close - [len(t) for _, _, t in rows]
-    spans = np.array([s for _, more, _ in rows for s in more], np.int64).reshape(-1, 2) + first[of][:, None]
-    starts, ends, which = starts_of(codes, spans)
+    codes, spans, _ = candidates(rows)
     out = np.full(len(spans), -np.inf)
-    for i in range(0, len(starts), 16384):
-        s = slice(i, i + 16384)
-        text = of[which[s]]
-        np.maximum.at(out, which[s], net.margin(windows_of(codes, (first[text], close[text]), starts[s], ends[s])))
+    if len(spans):
+        starts, ends, which = starts_of(codes, spans)
+        np.maximum.at(out, which, net.margins_in(codes, starts, ends))
     return out
 
 
+def summed(net: CharNet) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(_doc, _text) -> (_sums): a task's sums of derivatives over the windows of all its candidates that no pattern finds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1)
+        for batch in (x for y in batches for x in slices(y, "_text")):
+            codes, spans, _ = candidates(list(scan(batch.column("_text"))))
+            if len(spans):
+                for _, x in net.pooled_in(codes, *starts_of(codes, spans)[:2]):
+                    total = total + net.derivatives(x)
+        if len(total) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["_sums"])
+
+    return run
+
+
 def reported(net: CharNet) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(_doc, _text) -> the result's rows."""
 
@@ -386,30 +518,27 @@ def reported(net: CharNet) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def scan_secrets(docs: DataFrame, *, train_rows: int = 2000, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, *, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, n_cnn, base_sha256, spans (kind:start:end).
 
     Spans are in code points, end exclusive. Null texts count as empty and have no spans. Repeated rows
     come back as often and get equal spans; other columns are not carried, so none clashes. A very long text
-    is one row in a task's memory. Training takes at most train_rows base findings, each of the corpus with the
-    same chance, and at most twice as many candidates that are none, of at most train_rows documents, both in
-    hash order; without any it uses the generated ones alone.
+    is one row in a task's memory. All base findings train the network and set its thresholds (the driver holds a
+    window of 58 bytes of each), with one candidate of each kind; the output layer is fitted to all candidates.
+    Without any the generated ones alone are used.
     """
     small_batches(docs.sparkSession)
     c = Carried(docs, doc=id_col, text=text_col)
     texts = c.df.select(c.col("doc").cast("long").alias("_doc"), c.col("text").alias("_text"))
-    table = materialise(
-        texts.mapInArrow(found, "_doc long, _base array<long>, _bwin array<binary>").select("_doc", F.posexplode("_bwin").alias("_pos", "_window")), "findings"
-    )
-
-    def sample(rows: DataFrame, n: int, most: int, *key: str) -> list[bytes]:
-        some = rows.filter(lowest_hashes(F.struct(*key), n, most)).orderBy(F.xxhash64(F.struct(*key)), *key, "_window").limit(most)
-        return [bytes(r["_window"]) for r in some.select("_window").collect()]
-
-    findings = sample(table, table.count(), train_rows, "_doc", "_pos")
-    few = texts.filter(lowest_hashes(F.col("_doc"), texts.count(), train_rows)).mapInArrow(harmless, "_doc long, _window binary")
-    few = materialise(few, "candidates")
-    net = train(findings, sample(few, few.count(), 2 * train_rows, "_doc", "_window"), recall=recall)
+    table = materialise(texts.mapInArrow(found, "_kind long, _doc long, _window binary"), "findings")
+    # In the order of their bytes, so that no task's or file's order counts.
+    findings = sorted(table.filter(F.col("_kind").isNull()).select("_window").toArrow().column(0).to_pylist())
+    first = F.min(F.struct(F.col("_doc").isNull().alias("none"), "_doc", "_window")).getField("_window")
+    plain = sorted(table.filter(F.col("_kind").isNotNull()).groupBy("_kind").agg(first.alias("_window")).select("_window").toArrow().column(0).to_pylist())
+    net = train(findings, plain, recall=recall)
+    sums = [np.array(r["_sums"]) for r in texts.mapInArrow(summed(net), "_sums array<double>").collect()]
+    if sums:
+        net.refit(np.sum(sums, axis=0), recall)
     return texts.mapInArrow(
         reported(net), "doc_id long, n_assign long, n_access long, n_hex long, n_cnn long, base_sha256 string, spans string"
     ).withColumnRenamed("doc_id", id_col)

@@ -624,3 +624,57 @@ def test_windows_cover_a_candidate_and_stay_in_their_text():
     for i, (a, b) in enumerate(spans):
         assert {x for s, e in zip(starts[which == i], ends[which == i]) for x in range(s, e)} == set(range(a, b))
     assert got.shape[1] > BEFORE + WITHIN
+
+
+def test_shared_convolutions_give_what_each_window_gives():
+    import pyarrow as pa
+
+    from codicil.llm import secret_scan as s
+
+    rng = np.random.default_rng(5)
+    texts = ["", "abcdef", "é" + "a" * 27 + " " + "b" * 28 + " " + "c" * 70, *("".join(rng.choice(list("abcXY12/=. é"), int(n))) for n in rng.integers(1, 400, 40)), "x" * 9000]
+    codes, spans, _ = s.candidates(list(s.scan(pa.array(texts))))
+    starts, ends, _ = s.starts_of(codes, spans)
+    assert {1, 2, 3, 27, 28, 32} <= set((ends - starts).tolist())
+    raw = s.windows_of(codes, (np.zeros(len(starts), int), np.full(len(starts), len(codes))), starts, ends)
+    net, seen = s.CharNet(3), np.full((len(starts), 32), np.nan)
+    for at, x in net.pooled_in(codes, starts, ends):
+        seen[at] = x
+    assert np.allclose(seen, net._pooled(net.classes[raw]), atol=1e-4)
+    assert np.allclose(net.margins_in(codes, starts, ends), net.margin(raw), atol=1e-5)
+
+
+def test_all_findings_and_candidates_of_the_corpus_are_in_the_model(spark, monkeypatch):
+    import pyarrow as pa
+
+    from codicil.llm import secret_scan as s
+
+    seen, real = [], s.train
+    monkeypatch.setattr(s, "train", lambda a, b=[], **k: (seen.append(a), real(a[:5], b, generated=200))[1])
+    monkeypatch.setattr(s.CharNet, "refit", lambda self, sums, recall: seen.append((sums, self)))
+    texts = [f"token = abcdef{i:05d} and harmless words number{i:05d} of internationalization/{i:06d}" for i in range(5000)]
+    s.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).count()
+    findings, (sums, net) = seen
+    assert len(findings) == 5000 and len(set(findings)) == 5000
+    codes, spans, _ = s.candidates(list(s.scan(pa.array(texts))))
+    starts, ends, _ = s.starts_of(codes, spans)
+    assert sums[0] == len(starts) >= 15000
+    raw = s.windows_of(codes, (np.zeros(len(starts), int), np.full(len(starts), len(codes))), starts, ends)
+    assert np.allclose(sums, net.derivatives(net._pooled(net.classes[raw])), rtol=1e-3, atol=1e-3)
+
+
+def test_a_newton_step_lessens_the_loss_of_the_corpus():
+    import pickle
+
+    import pyarrow as pa
+
+    from codicil.llm import secret_scan as s
+
+    net = s.train([], generated=2000)
+    codes, spans, _ = s.candidates(list(s.scan(pa.array(["SERIAL-AB12-CD34 of internationalization, report_2021_10_12 and MNOPQR "] * 300))))
+    starts, ends, _ = s.starts_of(codes, spans)
+    raw = s.windows_of(codes, (np.zeros(len(starts), int), np.full(len(starts), len(codes))), starts, ends)
+    before = np.log1p(np.exp(net.logits(raw))).mean()
+    net.refit(net.derivatives(net._pooled(net.classes[raw])), 0.99)
+    assert np.log1p(np.exp(net.logits(raw))).mean() < before
+    assert not hasattr(pickle.loads(pickle.dumps(net)), "examples")
