@@ -17,6 +17,7 @@ import hashlib
 import re
 import string
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ BEFORE, WITHIN, AFTER = 20, 32, 6
 #: Windows of a long part begin every STRIDE characters.
 STRIDE = 16
 #: Characters of text whose convolutions are held at a time.
-BLOCK = 8192
+BLOCK = 4096
 #: Characters of the shortest candidate.
 SHORTEST = 6
 WIDTH = BEFORE + WITHIN + AFTER
@@ -50,48 +51,37 @@ _LETTER = np.zeros(256, bool)
 _LETTER[list(string.ascii_letters.encode())] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[list(string.digits.encode())] = True
-_LOWER = np.zeros(256, bool)
-_LOWER[list(string.ascii_lowercase.encode())] = True
-
-
-def runs(mask: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of runs of True of at least least bytes; runs don't pass from text to text."""
-    edge = np.zeros(len(mask) + 1, bool)
-    edge[offsets] = True
-    opens, closes = mask.copy(), mask.copy()
-    opens[1:] &= ~mask[:-1] | edge[1 : len(mask)]
-    closes[:-1] &= ~mask[1:] | edge[1 : len(mask)]
-    a, b = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+#: What a character is, as bits: letter, digit, separator, lower-case letter.
+LETTER, DIGIT, MARK, LOWER_CASE = 1, 2, 4, 8
+_BITS = (LETTER * _LETTER + DIGIT * _DIGIT + MARK * _SEPARATOR).astype(np.uint8)
+_BITS[list(string.ascii_lowercase.encode())] |= LOWER_CASE
+
+
+def runs(mask: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of True of at least least places; the first and the last place are False."""
+    turns = np.flatnonzero(mask[1:] != mask[:-1]) + 1
+    a, b = turns[::2], turns[1::2]
     keep = b - a >= least
     return a[keep], b[keep]
 
 
+
 def window(text: str, start: int, end: int) -> bytes:
     """The characters around and in a span, as bytes of fixed number: 0 pads, 1 is any character beyond ASCII."""
     part = lambda s: bytes(ord(x) if ord(x) < 128 else 1 for x in s)
     return part(text[max(0, start - BEFORE) : start]).rjust(BEFORE, b"\0") + part(text[start : min(end, start + WITHIN)]).ljust(WITHIN, b"\0") + part(text[end : end + AFTER]).ljust(AFTER, b"\0")
 
 
-def left_over(run: tuple[int, int], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """The parts of a run outside its base spans (sorted by start), of SHORTEST characters or more."""
-    at, end = run
-    out = []
-    for a, _, b in base:
-        if a >= end:
-            break
-        if b > at:
-            out.append((at, a))
-            at = b
-    return [(a, b) for a, b in [*out, (at, end)] if b - a >= SHORTEST]
-
-
 def starts_of(codes: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Window starts, the ends of what they read, and the span of each; every character of a span is in a window.
 
     A span is read from its start and from the starts of its parts after a separator, every STRIDE characters.
     """
-    n = spans[:, 1] - spans[:, 0]
-    which = np.repeat(np.arange(len(spans)), n)
+    # Short spans without separators are one window; only the others are read by the character.
+    parted = (spans[:, 1] - spans[:, 0] > WITHIN) | (bits_in(codes, spans[:, 0], spans[:, 1]) & MARK > 0)
+    whole, of = np.flatnonzero(~parted), np.flatnonzero(parted)
+    n = spans[of, 1] - spans[of, 0]
+    which = np.repeat(of, n)
     at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
     place = at + spans[which, 0]
     parts = (at == 0) | (_SEPARATOR[codes[place]] < _SEPARATOR[codes[np.maximum(place - 1, 0)]])
@@ -99,7 +89,10 @@ def starts_of(codes: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndar
     off = np.arange(len(place)) - part
     # A later window of the same part is needed only where the one before it stops short of the span's end.
     take = (off % STRIDE == 0) & ((off == 0) | (place - STRIDE + WITHIN < spans[which, 1]))
-    return place[take], np.minimum(place[take] + WITHIN, spans[which[take], 1]), which[take]
+    place, which = np.concatenate([spans[whole, 0], place[take]]), np.concatenate([whole, which[take]])
+    order = np.argsort(place, kind="stable")
+    place, which = place[order], which[order]
+    return place, np.minimum(place + WITHIN, spans[which, 1]), which
 
 
 def windows_of(codes: np.ndarray, edges: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -122,57 +115,71 @@ def base_spans(text: str, hexes: list[tuple[int, int]], lowered: bytes) -> list[
     return sorted(spans)
 
 
-def scan(texts: pa.Array) -> Iterator[tuple[list[tuple[int, int, int]], list[tuple[int, int]], str]]:
-    """For each text: base spans, other candidates (start, end), and the text; in code points."""
+class Scanned(NamedTuple):
+    """Texts laid out in codes of one byte, 0 between them and 1 beyond ASCII: where each begins, what patterns find in each
+    (start, kind, end, in code points of the text), all other candidates' spans in the codes, and the text of each."""
+
+    texts: list[str]
+    codes: np.ndarray
+    first: np.ndarray
+    base: list[list[tuple[int, int, int]]]
+    spans: np.ndarray
+    of: np.ndarray
+
+
+def laid(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts in codes with zeros between them, so that no window reads two texts; and where each begins."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    if len(lead) < len(data):
+        data, offsets = data[lead], np.searchsorted(lead, offsets)
+    first = offsets[:-1] + BEFORE * np.arange(1, len(offsets))
+    codes = np.zeros(len(data) + BEFORE * len(first) + WIDTH, np.uint8)
+    for at, a, b in zip(first.tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+        codes[at : at + b - a] = data[a:b]
+    codes[codes > 127] = 1
+    return codes, first
+
+
+def scan(texts: pa.Array) -> Scanned:
     data, offsets = buffers(texts)
-    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    found = []
-    for mask, least in ((_HEX[data], 24), (_TOKEN[data], SHORTEST)):
-        a, b = runs(mask, offsets, least)
-        found.append((a, b, np.searchsorted(a, offsets)))
-    low = data.tobytes().lower()
-    for i, text in enumerate(texts.fill_null("").to_pylist()):
-        spans = []
-        for a, b, first in found:
-            s = slice(first[i], first[i + 1])
-            spans.append(list(zip((lead[a[s]] - lead[offsets[i]]).tolist(), (lead[b[s]] - lead[offsets[i]]).tolist())))
-        base = base_spans(text, spans[0], low[offsets[i] : offsets[i + 1]])
-        yield base, [x for run in spans[1] for x in left_over(run, base)] if base else spans[1], text
-
-
-def laid(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts in codes of one byte with zeros between them, so that no window reads two texts; and where each begins."""
-    wide = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    gaps = BEFORE * np.arange(1, len(texts) + 1)
-    codes = np.zeros(len(wide) + BEFORE * len(texts) + WIDTH, np.uint8)
-    codes[np.arange(len(wide)) + np.repeat(gaps, sizes)] = np.where(wide < 128, wide, 1)
-    return codes, np.cumsum(sizes) - sizes + gaps
-
-
-def candidates(rows: list[tuple[list, list[tuple[int, int]], str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    codes, first = laid(data, offsets)
+    a, b = runs(_HEX[codes], 24)
+    hexes: dict[int, list[tuple[int, int]]] = {}
+    for i, at, end in zip((np.searchsorted(first, a, "right") - 1).tolist(), a.tolist(), b.tolist()):
+        hexes.setdefault(i, []).append((at - int(first[i]), end - int(first[i])))
+    token, low, edges = _TOKEN[codes], data.tobytes().lower(), offsets.tolist()
+    rows, base = texts.fill_null("").to_pylist(), []
+    for i, text in enumerate(rows):
+        base.append(base_spans(text, hexes.get(i, []), low[edges[i] : edges[i + 1]]))
+        for at, _, end in base[-1]:
+            token[first[i] + at : first[i] + end] = False
+    a, b = runs(token, SHORTEST)
+    return Scanned(rows, codes, first, base, np.stack([a, b], axis=1), np.searchsorted(first, a, "right") - 1)
+
+
+def candidates(scanned: Scanned) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The texts laid out, the spans of all their candidates there, and the row of each."""
-    codes, first = laid([t for _, _, t in rows])
-    of = np.repeat(np.arange(len(rows)), [len(more) for _, more, _ in rows])
-    return codes, np.array([s for _, more, _ in rows for s in more], np.int64).reshape(-1, 2) + first[of][:, None], of
+    _, codes, _, _, spans, of = scanned
+    return codes, spans, of
 
 
-def some_in(kind: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Whether a character of the kind is in each span."""
-    n = np.concatenate([[0], np.cumsum(kind[codes], dtype=np.int32)])
-    return n[ends] > n[starts]
+def bits_in(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bits of all characters of each span; spans have a character or more and end before the codes do."""
+    if not len(starts):
+        return np.zeros(0, np.uint8)
+    return np.bitwise_or.reduceat(_BITS[codes], np.stack([starts, ends], axis=1).ravel())[::2]
 
 
 def shapes_in(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The same as shape_of() for spans in codes."""
-    letter, digit, mark = (some_in(x, codes, starts, ends) for x in (_LETTER, _DIGIT, _SEPARATOR.astype(bool)))
-    return np.where(mark, 2, letter & digit)
+    bits = bits_in(codes, starts, ends)
+    return np.where(bits & MARK, 2, (bits & (LETTER | DIGIT) == LETTER | DIGIT).astype(np.int64))
 
 
 def kinds_of(codes: np.ndarray, spans: np.ndarray) -> np.ndarray:
     """A number for what a candidate is like: its window's shape, upper case and length, its first and last character."""
     a, b = spans[:, 0], np.minimum(spans[:, 1], spans[:, 0] + WITHIN)
-    upper = some_in(_LETTER, codes, a, spans[:, 1]) & ~some_in(_LOWER, codes, a, spans[:, 1])
+    upper = bits_in(codes, a, spans[:, 1]) & (LETTER | LOWER_CASE) == LETTER
     return (((shapes_in(codes, a, b) * 2 + upper) * (WITHIN + 1) + b - a) * 128 + codes[a]) * 128 + codes[spans[:, 1] - 1]
 
 
@@ -181,8 +188,8 @@ def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept: dict[int, tuple] = {}
     names = ["_kind", "_doc", "_window"]
     for batch in (x for y in batches for x in slices(y, "_text")):
-        docs, rows = batch.column("_doc").to_pylist(), list(scan(batch.column("_text")))
-        base = [(d, window(t, a, b)) for d, (own, _, t) in zip(docs, rows) for a, _, b in own]
+        docs, rows = batch.column("_doc").to_pylist(), scan(batch.column("_text"))
+        base = [(d, window(t, a, b)) for d, own, t in zip(docs, rows.base, rows.texts) for a, _, b in own]
         yield pa.RecordBatch.from_arrays([pa.nulls(len(base), pa.int64()), pa.array([d for d, _ in base], pa.int64()), pa.array([w for _, w in base], pa.binary())], names)
         codes, spans, of = candidates(rows)
         if not len(spans):
@@ -280,17 +287,33 @@ class CharNet:
         split = BEFORE - 2
         return np.maximum(np.concatenate([a[:, :split].max(axis=1), a[:, split:].max(axis=1)], axis=1) + np.tile(p["bias"], 2), 0)
 
+    def _tables(self) -> tuple[np.ndarray, ...]:
+        """What classes and pairs of classes add to a convolution, by their place in it.
+
+        One class in the first or last place, pads alone; pairs in the first two, the third and fourth and the last
+        two places. Then for the last two characters of a candidate, before pads: the greater of the convolutions with
+        one and with two characters, and their share of those with three and with four; and the same for the first two after it.
+        """
+        d = self.p["emb"].shape[1]
+        share = [self.p["emb"].astype(np.float32) @ self.p["conv"].astype(np.float32)[j * d : (j + 1) * d] for j in range(5)]
+        pad = [x[0] for x in share]
+        pair = lambda i, j: (share[i][:, None] + share[j][None]).reshape(N_CLASSES**2, -1)
+        alone = lambda i, second: np.tile(share[i], (N_CLASSES, 1)) if second else np.repeat(share[i], N_CLASSES, axis=0)
+        left = [np.maximum(alone(0, True) + sum(pad[1:]), pair(0, 1) + sum(pad[2:])), pair(1, 2) + sum(pad[3:]), pair(2, 3) + pad[4]]
+        right = [np.maximum(alone(4, False) + sum(pad[:4]), pair(3, 4) + sum(pad[:3])), pair(2, 3) + sum(pad[:2]), pair(1, 2) + pad[0]]
+        return share[0], share[4], sum(pad), pair(0, 1), pair(2, 3), pair(3, 4), np.concatenate(left, axis=1), np.concatenate(right, axis=1)
+
     def pooled_in(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(numbers of windows, what the output layer reads of them), for windows of texts laid out, whose starts ascend.
 
         The convolutions inside texts are computed once for all windows over them, with maxima over 1, 2, 4, 8 and 16
-        places, of which two cover any range; only those that reach beyond a window's candidate are its own.
+        places, of which two cover any range; only those that reach beyond a window's candidate are its own. All are
+        sums of rows of tables by pairs of characters.
         """
-        p = {k: v.astype(np.float32) for k, v in self.p.items()}
-        d, f = p["emb"].shape[1], len(p["bias"])
-        emb = p["emb"][self.classes]
-        shares = np.concatenate([emb @ p["conv"][j * d : (j + 1) * d] for j in range(5)], axis=1)
-        pads = shares[0].reshape(5, f).sum(axis=0)
+        head, last, pads, begin, middle, end, left, right = self._tables()
+        bias, classes = np.tile(self.p["bias"].astype(np.float32), 2), self.classes[codes]
+        f = len(pads)
+        pairs = classes[:-1] * N_CLASSES + classes[1:]
         n = ends - starts
         # Very short candidates have no convolution of their own, very long ones no place of pads alone.
         other = np.flatnonzero((n < 3) | (n > WITHIN - 5))
@@ -302,29 +325,35 @@ class CharNet:
         for at in np.split(usual, np.flatnonzero(np.diff(starts[usual] // BLOCK)) + 1):
             if not len(at):
                 continue
-            lo = starts[at[0]] - BEFORE
-            part = codes[lo : starts[at[-1]] + WITHIN + AFTER]
-            y, m = shares[part], len(part) - 4
+            lo, hi = starts[at[0]] - BEFORE, starts[at[-1]] + WITHIN + AFTER
+            one, two, m = classes[lo:hi], pairs[lo:hi], hi - lo - 4
             most = np.empty((5, m, f), np.float32)
-            np.add(y[:m, :f], y[1 : m + 1, f : 2 * f], out=most[0])
-            for j in range(2, 5):
-                most[0] += y[j : m + j, j * f : (j + 1) * f]
+            np.add(begin.take(two[:m], axis=0), middle.take(two[2 : m + 2], axis=0), out=most[0])
+            most[0] += last.take(one[4:], axis=0)
             for k in range(1, 5):
                 w = m - (1 << k) + 1
                 np.maximum(most[k - 1, :w], most[k - 1, 1 << (k - 1) : w + (1 << (k - 1))], out=most[k, :w])
             flat, s, e = most.reshape(-1, f), starts[at] - lo, ends[at] - lo
             k = np.log2(e - s - 2).astype(np.int64)
-            context = np.maximum(most[4].take(s - BEFORE, axis=0), most[4].take(s - BEFORE + 2, axis=0))
-            own = np.maximum(flat.take(k * m + s - 2, axis=0), flat.take(k * m + e - 4 - (1 << k), axis=0))
-            for x in (most[0].take(e, axis=0), most[0].take(e + 1, axis=0), pads):
-                np.maximum(own, x, out=own)
-            for reach, columns in ((np.arange(-4, 0), slice(0, 4)), (np.arange(4), slice(4, 8))):
-                edge = np.zeros((len(at), 8), np.uint8)
-                edge[:, columns] = part[e[:, None] + reach]
-                x = emb[edge].reshape(len(at), -1)
-                for j in range(4):
-                    np.maximum(own, x[:, j * d : (j + 5) * d] @ p["conv"], out=own)
-            yield at, np.maximum(np.concatenate([context, own], axis=1) + np.tile(p["bias"], 2), 0)
+            x = np.empty((len(at), 2 * f), np.float32)
+            context, own = x[:, :f], x[:, f:]
+            np.maximum(most[4].take(s - BEFORE, axis=0), most[4].take(s - BEFORE + 2, axis=0), out=context)
+            np.maximum(flat.take(k * m + s - 2, axis=0), flat.take(k * m + e - 4 - (1 << k), axis=0), out=own)
+            before, after = left.take(two[e - 2], axis=0), right.take(two[e], axis=0)
+            for y in (
+                most[0].take(e, axis=0),
+                most[0].take(e + 1, axis=0),
+                pads,
+                before[:, :f],
+                before[:, f : 2 * f] + head.take(one[e - 3], axis=0),
+                before[:, 2 * f :] + begin.take(two[e - 4], axis=0),
+                after[:, :f],
+                after[:, f : 2 * f] + last.take(one[e + 2], axis=0),
+                after[:, 2 * f :] + end.take(two[e + 2], axis=0),
+            ):
+                np.maximum(own, y, out=own)
+            x += bias
+            yield at, np.maximum(x, 0, out=x)
 
     def margins_in(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The same as margin() for windows of texts laid out."""
@@ -470,9 +499,9 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def greatest_margins(net: CharNet, rows: list[tuple[list, list[tuple[int, int]], str]]) -> np.ndarray:
+def greatest_margins(net: CharNet, scanned: Scanned) -> np.ndarray:
     """The margin of each candidate of the texts, in order: the greatest of its windows."""
-    codes, spans, _ = candidates(rows)
+    codes, spans, _ = candidates(scanned)
     out = np.full(len(spans), -np.inf)
     if len(spans):
         starts, ends, which = starts_of(codes, spans)
@@ -486,7 +515,7 @@ def summed(net: CharNet) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1)
         for batch in (x for y in batches for x in slices(y, "_text")):
-            codes, spans, _ = candidates(list(scan(batch.column("_text"))))
+            codes, spans, _ = candidates(scan(batch.column("_text")))
             if len(spans):
                 for _, x in net.pooled_in(codes, *starts_of(codes, spans)[:2]):
                     total = total + net.derivatives(x)
@@ -501,12 +530,13 @@ def reported(net: CharNet) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for y in batches for x in slices(y, "_text")):
-            scanned = list(scan(batch.column("_text")))
-            score = greatest_margins(net, scanned)
-            rows, at = [], 0
-            for base, more, _ in scanned:
-                own = [(more[j][0], 3, more[j][1]) for j in np.flatnonzero(score[at : at + len(more)] >= 0)]
-                at += len(more)
+            scanned = scan(batch.column("_text"))
+            found = np.flatnonzero(greatest_margins(net, scanned) >= 0)
+            of, more = scanned.of[found], [[] for _ in scanned.texts]
+            for i, (a, b) in zip(of.tolist(), (scanned.spans[found] - scanned.first[of][:, None]).tolist()):
+                more[i].append((a, 3, b))
+            rows = []
+            for base, own in zip(scanned.base, more):
                 n = [sum(k == i for _, k, _ in base) for i in range(3)]
                 rows.append((*n, len(own), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + own)))
             cols = list(zip(*rows)) if rows else [[]] * 6

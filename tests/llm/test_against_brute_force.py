@@ -644,6 +644,41 @@ def test_shared_convolutions_give_what_each_window_gives():
     assert np.allclose(net.margins_in(codes, starts, ends), net.margin(raw), atol=1e-5)
 
 
+def test_seconds_of_a_pass_over_texts():
+    """CPU time against a plain loop's, best of four: 2.0 to 2.2 of it before convolutions were sums of tables and spans were found in arrays."""
+    import time
+
+    import pyarrow as pa
+
+    from codicil.llm import secret_scan as s
+
+    rng = np.random.default_rng(8)
+    pool = ["".join(rng.choice(list("abcdefghijklmnop"), int(n))) for n in rng.integers(2, 12, 3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([" ".join(rng.choice(pool, 300)) for _ in range(1000)])], ["_doc", "_text"])
+    net = s.CharNet(3)
+
+    def seconds(f):
+        before = time.process_time()
+        f()
+        return time.process_time() - before
+
+    loop = min(seconds(lambda: [i for i in range(10_000_000)]) for _ in range(4))
+    assert min(seconds(lambda: list(s.summed(net)(iter([batch])))) for _ in range(4)) < 1.4 * loop
+
+
+def test_candidates_are_what_base_findings_leave():
+    import pyarrow as pa
+
+    from codicil.llm import secret_scan as s
+
+    texts = [None, "", "é😀 abcdef token=abcdefgh/x y", "x" * 5, "a/" + "0123456789abcdef" * 2 + "/longpart", "trailing", "leading word"]
+    scanned = s.scan(pa.array(texts))
+    got = [(int(i), texts[i][a - scanned.first[i] : b - scanned.first[i]]) for i, (a, b) in zip(scanned.of, scanned.spans)]
+    assert got == [(2, "abcdef"), (4, "/longpart"), (5, "trailing"), (6, "leading")]
+    assert scanned.base == [[], [], [(10, 0, 26)], [], [(2, 2, 34)], [], []]
+    assert s.bits_in(scanned.codes, scanned.spans[:, 0], scanned.spans[:, 1]).tolist() == [9, 13, 9, 9]
+
+
 def test_all_findings_and_candidates_of_the_corpus_are_in_the_model(spark, monkeypatch):
     import pyarrow as pa
 
